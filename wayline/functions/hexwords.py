@@ -20,16 +20,6 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _part(hex64: Column, index: int) -> Column:
-    """64-bit part ``index`` (0 = lowest) of a 64-digit hex text, as DECIMAL(20,0)."""
-    digits = F.substring(hex64, 49 - 16 * index, 16)
-    return F.conv(digits, 16, 10).cast("decimal(20,0)")
-
-
-def _decimal(value: int, precision: int = 20) -> Column:
-    return F.lit(str(value)).cast(f"decimal({precision},0)")
-
-
 def body(hex_text: Column | str) -> Column:
     """The digits after the 0x prefix."""
     return F.substring(_column(hex_text), 3, 2_000_000_000)
@@ -68,20 +58,21 @@ def to_word(hex_digits: Column | str) -> Column:
     return F.when(F.length(significant) <= 64, F.lpad(significant, 64, "0"))
 
 
-def _limb_sum(parts: list[Column], limb: int) -> Column:
-    """Contribution of the four 64-bit parts to one limb, before carries."""
-    terms = []
+def _part(word_column: str, index: int) -> str:
+    """SQL for 64-bit part ``index`` (0 = lowest) of a 64-digit word."""
+    return f"CAST(conv(substring({word_column}, {49 - 16 * index}, 16), 16, 10) AS DECIMAL(20, 0))"
+
+
+def _limb_sum(parts: list[str], limb: int, increment: str | None) -> str:
+    """SQL for what the four 64-bit parts add to one limb, before carries."""
+    terms = [increment] if increment else []
     for index, part in enumerate(parts):
         weight = 2 ** (64 * index) // LIMB**limb
         if limb < LIMBS - 1:
             weight %= LIMB
-        if weight == 0:
-            continue
-        terms.append(part if weight == 1 else part * _decimal(weight, 18))
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total.cast("decimal(38,0)")
+        if weight:
+            terms.append(part if weight == 1 else f"{part} * CAST({weight} AS DECIMAL(18, 0))")
+    return f"CAST({' + '.join(terms)} AS DECIMAL(38, 0))"
 
 
 def with_digits(
@@ -96,47 +87,41 @@ def with_digits(
     increments = increments or {}
     original = df.columns
 
-    def name(new: str, step: str, index: int | str = "") -> str:
+    def name(new: str, step: str, index: int) -> str:
         return f"__{new}_{step}{index}"
 
-    df = df.withColumns(
+    def add(columns: dict[str, str]) -> None:
+        nonlocal df
+        kept = [c for c in df.columns if c not in columns]
+        df = df.selectExpr(*[f"`{c}`" for c in kept], *[f"{e} AS `{c}`" for c, e in columns.items()])
+
+    add({name(n, "part", i): _part(w, i) for n, w in words.items() for i in range(4)})
+    add(
         {
-            name(new, "part", i): _part(F.col(source), i)
-            for new, source in words.items()
-            for i in range(4)
+            name(new, "sum", limb): _limb_sum(
+                [name(new, "part", i) for i in range(4)], limb, None if limb else increments.get(new)
+            )
+            for new in words
+            for limb in range(LIMBS)
         }
     )
-    sums = {}
-    for new in words:
-        parts = [F.col(name(new, "part", i)) for i in range(4)]
-        for limb in range(LIMBS):
-            sums[name(new, "sum", limb)] = _limb_sum(parts, limb)
-        if new in increments:
-            first = name(new, "sum", 0)
-            sums[first] = (sums[first] + F.col(increments[new])).cast("decimal(38,0)")
-    df = df.withColumns(sums)
     for limb in range(LIMBS - 1):
-        lows, ups = {}, {}
-        for new in words:
-            value = F.col(name(new, "sum", limb))
-            low = F.col(name(new, "low", limb))
-            above = F.col(name(new, "sum", limb + 1))
-            lows[name(new, "low", limb)] = value % _decimal(LIMB)
-            carry = ((value - low) / _decimal(LIMB)).cast("decimal(38,0)")
-            ups[name(new, "sum", limb + 1)] = (above + carry).cast("decimal(38,0)")
-        df = df.withColumns(lows).withColumns(ups)
-    digits = {}
-    for new in words:
-        text = F.concat(
-            F.col(name(new, "sum", LIMBS - 1)).cast("string"),
-            *[
-                F.lpad(F.col(name(new, "low", limb)).cast("string"), 18, "0")
-                for limb in reversed(range(LIMBS - 1))
-            ],
+        add({name(n, "low", limb): f"{name(n, 'sum', limb)} % CAST({LIMB} AS DECIMAL(20, 0))" for n in words})
+        add(
+            {
+                name(n, "sum", limb + 1): f"CAST({name(n, 'sum', limb + 1)} + CAST(({name(n, 'sum', limb)} - "
+                f"{name(n, 'low', limb)}) / CAST({LIMB} AS DECIMAL(20, 0)) AS DECIMAL(38, 0)) AS DECIMAL(38, 0))"
+                for n in words
+            }
         )
-        stripped = F.ltrim(text, F.lit("0"))
-        digits[new] = F.when(stripped == "", F.lit("0")).otherwise(stripped)
-    return df.select(*original, *[column.alias(new) for new, column in digits.items()])
+    padded = {
+        n: ", ".join(f"lpad(CAST({name(n, 'low', i)} AS STRING), 18, '0')" for i in reversed(range(LIMBS - 1)))
+        for n in words
+    }
+    add({n: f"ltrim('0', concat(CAST({name(n, 'sum', LIMBS - 1)} AS STRING), {low}))" for n, low in padded.items()})
+    return df.selectExpr(
+        *[f"`{c}`" for c in original], *[f"if({n} = '', '0', {n}) AS `{n}`" for n in words]
+    )
 
 
 def is_negative(hex64: Column | str) -> Column:

@@ -38,7 +38,7 @@ def constant_frame(spark: SparkSession, rows: list[dict], schema: T.StructType)
     """
     names = schema.fieldNames()
     filled = [{name: row.get(name) for name in names} for row in rows]
-    table = pa.Table.from_pylist(filled, schema=to_arrow_schema(schema, timezone="UTC"))
+    table = pa.Table.from_pylist(filled, schema=to_arrow_schema(schema))
     return spark.createDataFrame(table, schema=schema)
 
 
