@@ -10,13 +10,19 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wayline.functions.scalars import seconds_between, shift
+from wayline.functions.scalars import seconds, seconds_between, shift
 from wayline.operators.identity import resolve_to_wallet
 from wayline.schema import EVENT_COLUMNS
+from wayline.session import constant_frame
 
 Span = timedelta | float
 
+_ROOTS = T.StructType(
+    [T.StructField("entity_id", T.StringType()), T.StructField("entity_type", T.StringType())]
+)
+
 _OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "=": lambda c, v: c == v,
     "!=": lambda c, v: c != v,
@@ -52,9 +58,8 @@ def _queries(roots: DataFrame | Iterable[str] | None, edges: DataFrame | None, e
     if roots is None:
         return None
     if not isinstance(roots, DataFrame):
-        spark = events.sparkSession
-        ids = list(dict.fromkeys(roots))
-        roots = spark.createDataFrame([(i, "wallet") for i in ids], "entity_id string, entity_type string")
+        rows = [{"entity_id": i, "entity_type": "wallet"} for i in dict.fromkeys(roots)]
+        roots = constant_frame(events.sparkSession, rows, _ROOTS)
     if "entity_type" not in roots.columns:
         roots = roots.withColumn("entity_type", F.lit("wallet"))
     return resolve_to_wallet(roots, edges).select(
@@ -124,7 +129,7 @@ def trajectory(
         "query_entity_type",
         "__id",
         "anchor_ts",
-        shift(F.col("anchor_ts"), -_seconds(before)).alias("__from"),
+        shift(F.col("anchor_ts"), -seconds(before)).alias("__from"),
         shift(F.col("anchor_ts"), after).alias("__until"),
     )
     rows = events
@@ -142,10 +147,6 @@ def trajectory(
     return _in_order(result, ordered)
 
 
-def _seconds(span: Span) -> float:
-    return span.total_seconds() if isinstance(span, timedelta) else float(span)
-
-
 def trajectory_across(
     events: DataFrame,
     links: DataFrame,
