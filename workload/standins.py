@@ -71,21 +71,26 @@ def order_outs(spark: SparkSession, sf: str) -> DataFrame:
     return conform(rows, CANONICAL_EVENTS)
 
 
+def line_hash():
+    """Identity of a line item from all of its columns."""
+    return F.sha2(
+        F.concat_ws(
+            "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")),
+            F.round(F.col("l_discount") * 100).cast("bigint"), F.round(F.col("l_tax") * 100).cast("bigint"),
+            F.round("l_quantity").cast("bigint"), "l_returnflag", "l_linestatus",
+        ),
+        256,
+    )
+
+
 def lineitem_ins(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as transfers arriving at a supplier; ``event_id`` is a hash of
     the whole row because (l_orderkey, l_linenumber) repeats."""
     rows = load(spark, sf, "lineitem").select(
         F.concat(F.lit("s:"), "l_suppkey").alias("entity_id"),
         F.lit("wallet").alias("entity_type"),
-        F.sha2(
-            F.concat_ws(
-                "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")),
-                F.round(F.col("l_discount") * 100).cast("bigint"), F.round(F.col("l_tax") * 100).cast("bigint"),
-                F.round("l_quantity").cast("bigint"), "l_returnflag", "l_linestatus",
-            ),
-            256,
-        ).alias("event_id"),
+        line_hash().alias("event_id"),
         F.lit("bridge_in").alias("event_type"),
         F.lit("transaction").alias("event_category"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
@@ -105,12 +110,12 @@ outs AS (
          CAST(round(o_totalprice * 100) AS BIGINT) AS amount, o_orderstatus AS protocol, o_totalprice
   FROM orders
 )"""
-INS_SQL = """
+LINE_HASH_SQL = """sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT),
+    CAST(epoch(l_shipdate) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),
+    CAST(round(l_quantity) AS BIGINT), l_returnflag, l_linestatus))"""
+INS_SQL = f"""
 ins AS (
-  SELECT 's:' || l_suppkey AS entity_id,
-         sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT),
-                          CAST(epoch(l_shipdate) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT),
-                          CAST(round(l_tax * 100) AS BIGINT), CAST(round(l_quantity) AS BIGINT), l_returnflag, l_linestatus)) AS event_id,
+  SELECT 's:' || l_suppkey AS entity_id, {LINE_HASH_SQL} AS event_id,
          l_shipdate AS "timestamp", 'depot' AS chain, 't' || l_orderkey AS tx_hash,
          CAST(l_orderkey AS VARCHAR) AS link_key, l_returnflag AS protocol
   FROM lineitem
