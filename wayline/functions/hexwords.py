@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 LIMB = 10**18
 LIMBS = 4
+NARROW = 31  # hex digits whose value always fits DECIMAL(38,0)
 
 
 def _column(value: Column | str) -> Column:
@@ -95,7 +96,9 @@ def with_digits(
         kept = [c for c in df.columns if c not in columns]
         df = df.selectExpr(*[f"`{c}`" for c in kept], *[f"{e} AS `{c}`" for c, e in columns.items()])
 
-    add({name(n, "part", i): _part(w, i) for n, w in words.items() for i in range(4)})
+    # most values are short; a null part skips all of the limb arithmetic
+    add({f"__{n}_wide": f"if(startswith({w}, '{'0' * (64 - NARROW)}'), NULL, {w})" for n, w in words.items()})
+    add({name(n, "part", i): _part(f"__{n}_wide", i) for n in words for i in range(4)})
     add(
         {
             name(new, "sum", limb): _limb_sum(
@@ -118,9 +121,24 @@ def with_digits(
         n: ", ".join(f"lpad(CAST({name(n, 'low', i)} AS STRING), 18, '0')" for i in reversed(range(LIMBS - 1)))
         for n in words
     }
-    add({n: f"ltrim('0', concat(CAST({name(n, 'sum', LIMBS - 1)} AS STRING), {low}))" for n, low in padded.items()})
+    digits = {n: f"ltrim('0', concat(CAST({name(n, 'sum', LIMBS - 1)} AS STRING), {low}))" for n, low in padded.items()}
     return df.selectExpr(
-        *[f"`{c}`" for c in original], *[f"if({n} = '', '0', {n}) AS `{n}`" for n in words]
+        *[f"`{c}`" for c in original],
+        *[f"{_digits(words[n], increments.get(n), wide)} AS `{n}`" for n, wide in digits.items()],
+    )
+
+
+def _digits(word: str, increment: str | None, wide: str) -> str:
+    """SQL for the digits: 64-bit values by ``conv`` alone, those of up to 31 hex
+    digits by one DECIMAL product, the rest from the limbs."""
+    added = f" + {increment}" if increment else ""
+    short = f"conv(right({word}, 16), 16, 10)"
+    if increment:
+        short = f"if({increment} = 0, {short}, CAST({_part(word, 0)}{added} AS STRING))"
+    narrow = f"CAST(CAST({_part(word, 1)} * CAST({2**64} AS DECIMAL(20, 0)) AS DECIMAL(38, 0)) + {_part(word, 0)}{added} AS STRING)"
+    return (
+        f"CASE WHEN startswith({word}, '{'0' * 48}') THEN {short} "
+        f"WHEN startswith({word}, '{'0' * (64 - NARROW)}') THEN {narrow} ELSE {wide} END"
     )
 
 

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayline.functions import hexwords as H
-from wayline.functions.scalars import event_id
-from wayline.schema import CANONICAL_EVENTS, EXACT_AMOUNTS, RAW_AMOUNT, conform
+from wayline.schema import CANONICAL_EVENTS, EXACT_AMOUNTS, conform
 from wayline.session import constant_frame
 
 SLOTS = 4  # numbers a decoder may read from one log
@@ -29,7 +28,8 @@ class Decoder:
     Besides the log columns the SQL may use ``t1``-``t3`` (topics without gaps),
     ``ta1``-``ta3`` (the addresses in them), ``w0``-``w4`` (data words, null when
     cut short), ``wa0``, ``wa1`` (the addresses in them), ``tw1``, ``tw2`` (topics
-    as words) and ``whole`` (all data as one word, empty data is zero).
+    as words) and ``whole`` (all data as one word; empty data
+    is zero, more than 32 significant bytes are null).
 
     ``numbers`` names up to four words to read as integers, ``signed_slots``
     those that are int256.  ``fields`` and ``extra`` may then use ``n0``-``n3``,
@@ -37,7 +37,7 @@ class Decoder:
     sign, and ``neg0``-``neg3``, 1 when negative.  ``numeric_extra`` are the
     properties written as JSON numbers.
 
-    A row with too few topics or a missing number is not an event.
+    A row with fewer topics or whole data words than given is not an event.
     """
 
     name: str
@@ -49,6 +49,7 @@ class Decoder:
     numbers: list[str]
     fields: dict[str, str]
     extra: dict[str, str]
+    min_words: int = 0
     signed_slots: tuple[int, ...] = ()
     numeric_extra: tuple[str, ...] = ()
 
@@ -113,6 +114,7 @@ DEFAULT_DECODERS = [
         "Swap(address indexed sender, uint amount0In, uint amount1In, uint amount0Out, "
         "uint amount1Out, address indexed to)",
         min_topics=3,
+        min_words=4,
         numbers=["w0", "w1", "w2", "w3"],
         fields={
             "entity_id": "ta1",
@@ -126,7 +128,8 @@ DEFAULT_DECODERS = [
         "Swap(address indexed sender, address indexed recipient, int256 amount0, "
         "int256 amount1, uint160 sqrtPriceX96, uint128 liquidity, int24 tick)",
         min_topics=3,
-        numbers=["if(w4 IS NOT NULL, w0, NULL)", "w1"],
+        min_words=5,
+        numbers=["w0", "w1"],
         fields={
             "entity_id": "ta1",
             "amount_in": "if(neg0 = 0 AND n0 != '0', n0, s1)",
@@ -139,6 +142,7 @@ DEFAULT_DECODERS = [
         "StargateSendToChain", STARGATE_SEND, "stargate", "bridge_out",
         "SendToChain(uint16 dstChainId, bytes to, uint256 qty)",
         min_topics=0,
+        min_words=4,
         numbers=["w0", "w2"],
         fields={
             "entity_id": "address",
@@ -156,6 +160,7 @@ DEFAULT_DECODERS = [
         "uint32 quoteTimestamp, uint32 fillDeadline, uint32 exclusivityDeadline, "
         "address indexed depositor, address recipient, address exclusiveRelayer, bytes message)",
         min_topics=4,
+        min_words=4,
         numbers=["w2", "w3", "tw1", "tw2"],
         fields={
             "entity_id": "ta3",
@@ -173,6 +178,7 @@ DEFAULT_DECODERS = [
         "BaseETHBridgeInitiated", BASE_ETH_BRIDGE, "base_native", "bridge_out",
         "ETHBridgeInitiated(address indexed from, address indexed to, uint256 amount, bytes extraData)",
         min_topics=3,
+        min_words=1,
         numbers=["w0"],
         fields={
             "entity_id": "ta1",
@@ -189,6 +195,7 @@ DEFAULT_DECODERS = [
         "ERC20BridgeInitiated(address indexed localToken, address indexed remoteToken, "
         "address indexed from, address to, uint256 amount, bytes extraData)",
         min_topics=4,
+        min_words=2,
         numbers=["w1"],
         fields={
             "entity_id": "ta3",
@@ -252,37 +259,36 @@ class DecoderRegistry:
         ]
         return constant_frame(spark, rows, schema)
 
-    def lookup(self, topic0: Column | str = "topic0", address: Column | str = "address") -> Column:
-        """Name of the decoder of a log, null when none applies.
+    def lookup_sql(self) -> str:
+        """SQL for the name of the decoder of a log, null when none applies.
 
         A signature with a single entry, or a log without an address, takes the
         first entry whatever its pattern; otherwise the first matching pattern.
         """
-        topic0 = F.col(topic0) if isinstance(topic0, str) else topic0
-        address = F.col(address) if isinstance(address, str) else address
         by_topic: dict[str, list[RegistryEntry]] = {}
         for entry in self.entries:
             by_topic.setdefault(entry.decoder.topic0, []).append(entry)
-        chosen = F.lit(None).cast("string")
-        for signature, entries in reversed(list(by_topic.items())):
-            name = F.lit(entries[0].decoder.name)
+        branches = []
+        for signature, entries in by_topic.items():
+            name = repr(entries[0].decoder.name)
             if len(entries) > 1:
-                first = name
-                name = F.lit(None).cast("string")
-                for entry in reversed(entries):
-                    matches = _pattern_matches(entry.address_pattern, address)
-                    name = F.when(matches, F.lit(entry.decoder.name)).otherwise(name)
-                name = F.when(address.isNull(), first).otherwise(name)
-            chosen = F.when(topic0 == signature, name).otherwise(chosen)
-        return chosen
+                cases = [f"WHEN {_matches(e.address_pattern)} THEN {e.decoder.name!r}" for e in entries]
+                name = f"CASE WHEN address IS NULL THEN {name} {' '.join(cases)} END"
+            branches.append(f"WHEN {signature!r} THEN {name}")
+        return f"CASE topic0 {' '.join(branches)} END" if branches else "CAST(NULL AS STRING)"
 
+    def lookup(self) -> Column:
+        """``lookup_sql`` as a Column over ``topic0`` and ``address``."""
+        return F.expr(self.lookup_sql())
 
-def _pattern_matches(pattern: str, address: Column) -> Column:
+
+def _matches(pattern: str) -> str:
+    """SQL test of ``address`` against ``*``, an address, or a prefix and ``*``."""
     if pattern == "*":
-        return F.lit(True)
-    exact = F.lower(address) == pattern.lower()
+        return "true"
+    exact = f"lower(address) = {pattern.lower()!r}"
     if pattern.endswith("*"):
-        return exact | F.lower(address).startswith(pattern[:-1].lower())
+        return f"({exact} OR startswith(lower(address), {pattern[:-1].lower()!r}))"
     return exact
 
 
@@ -296,8 +302,8 @@ _TOPICS = {
     "t2": "CASE WHEN topic1 != '' THEN coalesce(nullif(topic2, ''), nullif(topic3, '')) "
     "WHEN topic2 != '' THEN nullif(topic3, '') END",
     "t3": "if(topic1 != '' AND topic2 != '', nullif(topic3, ''), NULL)",
-    "__topics": "1 + if(topic1 != '', 1, 0) + if(topic2 != '', 1, 0) + if(topic3 != '', 1, 0)",
 }
+_TOPIC_COUNT = "(1 + if(topic1 != '', 1, 0) + if(topic2 != '', 1, 0) + if(topic3 != '', 1, 0))"
 _WORDS = {
     **{f"ta{i}": f"concat('0x', lower(right(t{i}, 40)))" for i in (1, 2, 3)},
     **{f"w{i}": f"if(length(data) >= {66 + 64 * i}, substr(data, {3 + 64 * i}, 64), NULL)" for i in range(5)},
@@ -333,13 +339,15 @@ def decode_logs(
     registry = registry or default_registry()
     decoders = {d.name: d for d in registry.decoders()}
     slots = range(SLOTS)
-    rows = (
-        logs.where(F.col("topic0").isin(registry.topic0s()))
-        .withColumn("__decoder", registry.lookup())
-        .where(F.col("__decoder").isNotNull())
+    # all filters are tests of log columns, which keeps them small where the
+    # optimizer pushes them to the scan
+    topics = ", ".join(map(repr, registry.topic0s())) or "NULL"
+    rows = _add(logs.where(f"topic0 IN ({topics})"), {"__decoder": registry.lookup_sql()}).where(
+        f"__decoder IS NOT NULL "
+        f"AND {_TOPIC_COUNT} >= {_by_decoder({n: str(d.min_topics) for n, d in decoders.items()})} "
+        f"AND length(coalesce(data, '')) >= {_by_decoder({n: str(64 * d.min_words + 2 if d.min_words else 0) for n, d in decoders.items()})}"
     )
     rows = _add(rows, _TOPICS)
-    rows = rows.where(f"__topics >= {_by_decoder({n: str(d.min_topics) for n, d in decoders.items()})}")
     rows = _add(rows, _WORDS)
     rows = _add(rows, {"whole": "if(length(__digits) <= 64, lpad(__digits, 64, '0'), NULL)"})
 
@@ -348,15 +356,6 @@ def decode_logs(
         for i in slots
     }
     rows = _add(rows, words)
-    rows = rows.where(
-        _by_decoder(
-            {
-                n: " AND ".join(f"__w{i} IS NOT NULL" for i in range(len(d.numbers))) or "true"
-                for n, d in decoders.items()
-            },
-            "false",
-        )
-    )
     signs = {
         f"neg{i}": _by_decoder(
             {n: f"if(lower(left(__w{i}, 1)) >= '8', 1, 0)" for n, d in decoders.items() if i in d.signed_slots}, "0"
@@ -397,11 +396,12 @@ def decode_logs(
     }
     carried = ["source_system", "chain", "block_number", "block_time", "tx_hash", "log_index", *(keep or [])]
     events = rows.selectExpr(*carried, *[f"CAST({sql} AS STRING) AS `{n}`" if n != "timestamp" else f"{sql} AS `{n}`" for n, sql in columns.items()])
-    events = events.withColumns(
+    events = _add(
+        events,
         {
-            "event_id": event_id(F.col("source_system"), F.col("source_event_id")),
-            **{n: F.col(f"{n}_raw").try_cast(RAW_AMOUNT) for n in ("amount_in", "amount_out")},
-        }
+            "event_id": "sha2(concat_ws(':', source_system, source_event_id), 256)",
+            **{n: f"try_cast({n}_raw AS DECIMAL(38, 0))" for n in ("amount_in", "amount_out")},
+        },
     )
     return conform(events, CANONICAL_EVENTS, keep=[*EXACT_AMOUNTS, *(keep or [])])
 

@@ -143,12 +143,12 @@ READ_AS_NULL = ["chain", "protocol", "venue", "aggregator"]
 def conform(df: DataFrame, schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
     """Exactly the columns of ``schema`` in order, missing ones null, plus ``keep``."""
     present = set(df.columns)
-    columns: list[Column] = [
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+    columns = [
+        f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
         for f in schema.fields
     ]
-    columns += [F.col(name) for name in keep or [] if name in present]
-    return df.select(*columns)
+    columns += [f"`{name}`" for name in keep or [] if name in present]
+    return df.selectExpr(*columns)
 
 
 def to_storage_nulls(events: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def derived_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per application and read by every later use."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _TABLES:
+        _TABLES[key] = materialize(build(), name.strip("/").replace("/", "_"))
+    return _TABLES[key]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and go on from there."""
     context = df.sparkSession.sparkContext

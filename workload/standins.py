@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayline.functions.scalars import event_id
 from wayline.operators import decode as D
 from wayline.schema import CANONICAL_EVENTS, conform
+from wayline.session import derived_table
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -134,6 +135,12 @@ def _word(column) -> F.Column:
 
 
 def chain_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoded logs as a landed table: decoding then starts at a scan, as it
+    does in use."""
+    return derived_table(spark, f"{sf}/landed_logs", lambda: _encoded_logs(spark, sf))
+
+
+def _encoded_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Line items encoded as raw logs, an event signature per row.
 
     The signature follows from (l_partkey + l_suppkey) mod 11; 10 is one that
