@@ -100,9 +100,9 @@ def attribute(
     acquisition cost per swap.
     """
     sessions = campaign_sessions(events, edges, start, end, session)
-    per_wallet = sessions.groupBy(by, "wallet").agg(F.count(F.lit(1)).alias("n"), F.min("channel").alias("channel"))
+    per_wallet = sessions.groupBy(by, "wallet").agg(F.count(F.lit(1)).alias("n"), F.min("channel").alias("first_channel"))
     reach = per_wallet.groupBy(by).agg(
-        F.min(F.col("channel")).alias("first_channel"),
+        F.min("first_channel").alias("first_channel"),
         F.sum("n").alias("sessions"),
         F.count("wallet").alias("wallet_connects"),
     )
