@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,88 +35,54 @@ def asof_join(
     ``tolerance``.  Right rows of one key and time count once: the one with the
     greatest ``newest_by``, then the greatest values.
 
-    A window over the whole key would put a key with a third of all rows into
-    one task.  Here the key is cut into time buckets, and a bucket into as many
+    Rows are counted per key first.  A key with at most ``slice_rows`` rows is
+    one window group, after one shuffle.  A window over a crowded key would put
+    it into one task, so its time is cut into buckets, and a bucket into as many
     slices as its left rows need:
 
     1. count the left rows per (key, bucket) and take the last right row per
        (key, bucket), both by partial aggregation;
     2. over that small grid, at most one row per key and bucket, carry the last
-       right row forward: what a bucket starts with.  The grid is written to the
-       shared folder, so building the plan runs this first step;
-    3. one shuffle on (key, bucket, slice) with the starting rows and the right
-       rows of the bucket copied to each of its slices.
+       right row forward: what a bucket starts with;
+    3. the starting rows and the bucket's right rows go to each of its slices.
 
     A slice is chosen by row hash and map partition, so identical copies of one
-    row spread too, and a retried task places its rows as before.
+    row spread too, and a retried task places its rows as before.  The counts
+    and the grid are written to the shared folder: building the plan runs them.
     """
-    width = int(seconds(bucket) * 1_000_000)
-
-    def bucket_of(ts: str) -> Column:
-        micros = F.unix_micros(F.col(ts))
-        return micros - F.pmod(micros, F.lit(width))
-
-    state_fields = [F.col(right_ts).alias("ts"), *[F.col(v).alias(v) for v in values]]
-    newest = [F.col(newest_by)] if newest_by else []
+    place = ["__bucket", "__slice"]
+    newest = F.struct(
+        *([F.col(newest_by).alias("newest")] if newest_by else []),
+        *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)],
+    )
     usable = F.lit(True)
     for name in [*on, right_ts]:
         usable = usable & F.col(name).isNotNull()
-    series = (
-        right.where(usable)
-        .groupBy(*on, right_ts)
-        .agg(
-            F.max(
-                F.struct(*[c.alias(f"n{i}") for i, c in enumerate(newest)], *[F.col(v) for v in values])
-            ).alias("__best")
-        )
-        .select(*on, right_ts, *[F.col("__best")[v].alias(v) for v in values])
-        .withColumn("__state", F.struct(*state_fields))
-        .select(*on, bucket_of(right_ts).alias("__bucket"), "__state")
+    right = right.where(usable).select(
+        *on, F.col(right_ts).alias("__at"), F.struct(F.col(right_ts).alias("ts"), newest.alias("pick")).alias("__state")
     )
+    rows = left.select(*on, F.col(left_ts).alias("__at"), F.struct(*left.columns).alias("__row"))
 
-    needed = left.groupBy(*on, bucket_of(left_ts).alias("__bucket")).agg(
-        F.count(F.lit(1)).alias("__rows")
-    )
-    closing = series.groupBy(*on, "__bucket").agg(F.max("__state").alias("__close"))
-    grid = (
-        needed.unionByName(closing, allowMissingColumns=True)
-        .groupBy(*on, "__bucket")
-        .agg(F.max("__rows").alias("__rows"), F.max("__close").alias("__close"))
-    )
-    before = W.partitionBy(*on).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    grid = materialize(
-        grid.withColumn("__opening", F.last("__close", ignorenulls=True).over(before))
-        .where(F.col("__rows").isNotNull())
-        .select(
-            *on,
-            "__bucket",
-            F.ceil(F.col("__rows") / F.lit(slice_rows)).cast("int").alias("__slices"),
-            "__opening",
-        ),
-        "asof-grid",
-    )
-
-    openings = grid.where(F.col("__opening").isNotNull()).select(
-        *on, "__bucket", "__slices", F.col("__opening").alias("__state")
-    )
-    inside = series.join(grid.select(*on, "__bucket", "__slices"), [*on, "__bucket"])
-    states = (
-        openings.unionByName(inside.select(*openings.columns))
-        .withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)))
-        .select(*on, "__bucket", "__slice", "__state", F.col("__state.ts").alias("__at"), F.lit(0).alias("__kind"))
+    sizes = left.select(*on).groupBy(*on).count().unionByName(right.groupBy(*on).count())
+    crowded = materialize(
+        sizes.groupBy(*on).agg(F.sum("count").alias("__n")).where(F.col("__n") > slice_rows).select(*on),
+        "asof-crowded",
     )
+    n_crowded = crowded.count()
+    if n_crowded == 0:
+        whole = {name: F.lit(0) for name in place}
+        rows, states = rows.withColumns(whole), right.withColumns(whole)
+    else:
+        rows, states = _cut(rows, right, on, crowded, n_crowded, int(seconds(bucket) * 1_000_000), slice_rows)
 
-    rows = left.select(
-        *on, bucket_of(left_ts).alias("__bucket"), F.col(left_ts).alias("__at"), F.struct(*left.columns).alias("__row")
-    )
-    rows = _with_slices(rows, grid, on).withColumn("__kind", F.lit(1))
     along = (
-        W.partitionBy(*on, "__bucket", "__slice")
-        .orderBy("__at", "__kind")
+        W.partitionBy(*on, *place)
+        .orderBy("__at", "__kind", "__state")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     found = (
-        rows.unionByName(states, allowMissingColumns=True)
+        rows.withColumn("__kind", F.lit(1))
+        .unionByName(states.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
         .withColumn("__found", F.last("__state", ignorenulls=True).over(along))
         .where(F.col("__kind") == 1)
     )
@@ -124,35 +90,72 @@ def asof_join(
     if tolerance is not None:
         limit = int(seconds(tolerance) * 1_000_000)
         fresh = F.unix_micros("__at") - F.unix_micros("__found.ts") <= limit
-    return found.select(
-        "__row.*",
-        *[F.when(fresh, F.col("__found")[name]).alias(alias) for name, alias in [("ts", right_ts), *[(v, v) for v in values]]],
-    )
+    picked = [F.col("__found.ts").alias(right_ts)]
+    picked += [F.col(f"__found.pick.v{i}").alias(v) for i, v in enumerate(values)]
+    if tolerance is not None:
+        found = found.withColumn("__found", F.when(fresh, F.col("__found")))
+    return found.select("__row.*", *picked)
 
 
-def _with_slices(rows: DataFrame, grid: DataFrame, on: list[str]) -> DataFrame:
-    """Slice number per row; only crowded (key, bucket) pairs have more than one."""
-    crowded = grid.where(F.col("__slices") > 1)
-    n_crowded = crowded.count()
-    if n_crowded == 0:
-        return rows.withColumn("__slice", F.lit(0))
-    crowded = crowded.select(
-        *[F.col(key).alias(f"__k_{key}") for key in on],
-        F.col("__bucket").alias("__k_bucket"),
-        F.col("__slices").alias("__k_slices"),
+def _look_up(df: DataFrame, small: DataFrame, n_rows: int, keys: list[str]) -> DataFrame:
+    """Left join with a counted table on null-safe keys; its key columns are dropped."""
+    renamed = small.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in small.columns if c not in keys], F.lit(True).alias("__hit")
     )
-    if n_crowded <= BROADCAST_ROWS:
-        crowded = F.broadcast(crowded)
-    match = F.col("__bucket").eqNullSafe(F.col("__k_bucket"))
-    for key in on:
+    if n_rows <= BROADCAST_ROWS:
+        renamed = F.broadcast(renamed)
+    match = F.lit(True)
+    for key in keys:
         match = match & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
-    place = F.pmod(F.col("__spread"), F.col("__k_slices")).cast("int")
-    return (
-        rows.withColumn("__spread", F.xxhash64(F.spark_partition_id(), "__row"))
-        .join(crowded, match, "left")
-        .withColumn("__slice", F.coalesce(place, F.lit(0)))
-        .drop("__spread", "__k_bucket", "__k_slices", *[f"__k_{key}" for key in on])
+    return df.join(renamed, match, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def _cut(
+    rows: DataFrame, right: DataFrame, on: list[str], crowded: DataFrame, n_crowded: int, width: int, slice_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Buckets and slices of the crowded keys; other keys stay whole."""
+    micros = F.unix_micros("__at")
+    bucket = F.when(F.col("__hit"), micros - F.pmod(micros, F.lit(width))).otherwise(F.lit(0))
+
+    def marked(df: DataFrame) -> DataFrame:
+        hit = _look_up(df, crowded, n_crowded, on)
+        return hit.withColumn("__bucket", bucket).withColumn("__cut", F.col("__hit").isNotNull()).drop("__hit")
+
+    cell = [*on, "__bucket"]
+    rows, right = marked(rows), marked(right)
+    # right rows of one key and time count once
+    series = right.where("__cut").groupBy(*cell, "__at").agg(F.max("__state").alias("__state"))
+    needed = rows.where("__cut").groupBy(*cell).agg(F.count(F.lit(1)).alias("__rows"))
+    closing = series.groupBy(*cell).agg(F.max("__state").alias("__close"))
+    grid = (
+        needed.unionByName(closing, allowMissingColumns=True)
+        .groupBy(*cell)
+        .agg(F.max("__rows").alias("__rows"), F.max("__close").alias("__close"))
+    )
+    before = W.partitionBy(*on).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    grid = materialize(
+        grid.withColumn("__opening", F.last("__close", ignorenulls=True).over(before))
+        .where(F.col("__rows").isNotNull())
+        .select(*cell, F.ceil(F.col("__rows") / F.lit(slice_rows)).cast("int").alias("__slices"), "__opening"),
+        "asof-grid",
+    )
+    openings = grid.where(F.col("__opening").isNotNull()).select(
+        *cell, "__slices", F.col("__opening.ts").alias("__at"), F.col("__opening").alias("__state")
+    )
+    inside = series.join(grid.select(*cell, "__slices"), cell).select(*openings.columns)
+    states = openings.unionByName(inside).withColumn(
+        "__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
+    )
+    whole = right.where(~F.col("__cut")).withColumn("__slice", F.lit(0))
+    columns = [*cell, "__slice", "__at", "__state"]
+
+    # only cells with several slices are looked up
+    sliced = grid.where(F.col("__slices") > 1).select(*cell, "__slices")
+    spread = F.xxhash64(F.spark_partition_id(), "__row")
+    rows = _look_up(rows.withColumn("__spread", spread), sliced, sliced.count(), cell).withColumn(
+        "__slice", F.coalesce(F.pmod(F.col("__spread"), F.col("__slices")).cast("int"), F.lit(0))
     )
+    return rows.drop("__spread", "__slices", "__hit", "__cut"), states.select(*columns).unionByName(whole.select(*columns))
 
 
 def running_offset(

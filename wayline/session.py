@@ -67,10 +67,11 @@ _TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def derived_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table written once per application and read by every later use."""
+    """A table written once per application, in many files, and read by every later use."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _TABLES:
-        _TABLES[key] = materialize(build(), name.strip("/").replace("/", "_"))
+        rows = build().repartition(spark.sparkContext.defaultParallelism)
+        _TABLES[key] = materialize(rows, name.strip("/").replace("/", "_"))
     return _TABLES[key]
 
 

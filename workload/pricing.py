@@ -10,6 +10,7 @@ from wayline.functions.scalars import is_stablecoin
 from wayline.operators import enrich as E
 from wayline.operators import links as L
 from wayline.schema import CANONICAL_EVENTS, TOKEN_METADATA, TOKEN_PRICES, conform
+from wayline.session import derived_table
 from wayline.sinks import tables
 from wayline.sources import prices as P
 from wayline.sources import tokens as TK
@@ -24,6 +25,10 @@ START, END = datetime(1993, 1, 1), datetime(1999, 12, 31)
 
 
 def trades(spark, sf):
+    return derived_table(spark, f"{sf}/trades", lambda: _trades(spark, sf))
+
+
+def _trades(spark, sf):
     """Line items as events: a part comes in and, for some suppliers, dollars go out."""
     paid = F.col("l_suppkey") % 3 == 0
     cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(38,0)")
@@ -45,6 +50,10 @@ def trades(spark, sf):
 
 
 def quotes(spark, sf):
+    return derived_table(spark, f"{sf}/quotes", lambda: _quotes(spark, sf))
+
+
+def _quotes(spark, sf):
     """Price of a part on the day it was ordered."""
     orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("timestamp"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(18,0)")
