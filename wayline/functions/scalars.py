@@ -101,10 +101,5 @@ def usd_value(raw: Column, token: Column, decimals: Column, price: Column) -> Co
     return F.try_add(whole_usd, fraction_usd).try_cast("decimal(38,6)")
 
 
-def wide_hash(*columns: str) -> Column:
-    """64-bit hash of a row, used to place rows, never to identify them."""
-    return F.xxhash64(*[F.col(name) for name in columns])
-
-
 def month_of(timestamp: Column) -> Column:
     return F.trunc(timestamp.cast("date"), "month")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.schema import ENTITY_RELATIONSHIPS, conform
-from wayline.session import cut_lineage
+from wayline.session import materialize
 
 _EDGE_KEYS = ["to_entity_type", "to_entity", "relationship_type", "source", "confidence_score"]
 
@@ -77,7 +77,9 @@ def resolve(
 
     The breadth-first order of a node is the list of edge positions on its
     path, compared from the front.  Carrying that list needs no ranking per
-    root, so a root with a very large neighbourhood stays spread out.
+    root, so a root with a very large neighbourhood stays spread out.  What a
+    hop reaches is written to the shared folder: the work grows with the depth
+    instead of doubling per hop, and a lost executor costs one hop at most.
     """
     if policy not in ("first", "best"):
         raise ValueError(f"Unknown policy: {policy}")
@@ -127,8 +129,9 @@ def resolve(
         )
         # one aggregation drops nodes seen at a lower depth and picks the path
         reached = reached.unionByName(step).groupBy(*node).agg(F.min("best").alias("best"))
-        if depth > 4 and depth < max_depth:
-            reached = cut_lineage(reached)
+        if depth < max_depth:
+            # the next hop reads it twice: as its start and as what is known
+            reached = materialize(reached, "reached")
     found = reached.where(F.col("best.depth") > 0)
     if target_type is not None:
         found = found.where(F.col("node_type") == target_type)

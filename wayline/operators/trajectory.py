@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from wayline.functions.scalars import seconds, seconds_between, shift
 from wayline.operators.identity import resolve_to_wallet
 from wayline.schema import EVENT_COLUMNS
-from wayline.session import constant_frame
+from wayline.session import constant_frame, materialize
 
 Span = timedelta | float
 
@@ -165,11 +165,12 @@ def trajectory_across(
     ``include_anchor`` do not apply to the added events; an event already there
     is not repeated.
 
-    Far sides are reduced to distinct (entity, chain) per requested entity
-    before they meet the events, and only identifiers take part in the test
-    for repeated events.
+    The near side is needed for its bounds, its transfers, its identifiers and
+    the result, so it is written to the shared folder once.  Far sides are
+    reduced to distinct (entity, chain) per requested entity before they meet
+    the events, and only identifiers take part in the test for repeated events.
     """
-    near = trajectory(events, anchor, before, after, ordered=False, **options)
+    near = materialize(trajectory(events, anchor, before, after, ordered=False, **options), "near-side")
     query = ["query_entity_id", "query_entity_type"]
     bounds = near.groupBy(*query, "anchor_ts").agg(
         F.min("timestamp").alias("__from"), F.max("timestamp").alias("__until")

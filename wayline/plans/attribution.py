@@ -11,6 +11,7 @@ from wayline.functions.scalars import nonempty
 from wayline.operators.asof import asof_join
 from wayline.operators.identity import resolve_to_wallet
 from wayline.schema import extra_value
+from wayline.session import materialize
 
 
 def campaign_of() -> Column:
@@ -99,7 +100,7 @@ def attribute(
     it, so no event counts twice.  ``spend(campaign_id, spend_usd)`` gives the
     acquisition cost per swap.
     """
-    sessions = campaign_sessions(events, edges, start, end, session)
+    sessions = materialize(campaign_sessions(events, edges, start, end, session), "sessions")
     per_wallet = sessions.groupBy(by, "wallet").agg(F.count(F.lit(1)).alias("n"), F.min("channel").alias("first_channel"))
     reach = per_wallet.groupBy(by).agg(
         F.min("first_channel").alias("first_channel"),

@@ -7,8 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -45,7 +44,7 @@ def constant_frame(spark: SparkSession, rows: list[dict], schema: T.StructType)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
@@ -73,21 +72,3 @@ def derived_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]
         rows = build().repartition(spark.sparkContext.defaultParallelism)
         _TABLES[key] = materialize(rows, name.strip("/").replace("/", "_"))
     return _TABLES[key]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def spread_key(key: str, row_id: str) -> Column:
-    """Join key in which null becomes a value of its own per row.
-
-    A left join sends all null keys to one task; such rows match nothing, so
-    they may go anywhere.  ``row_id`` must not collide with real keys, hence
-    the prefix.
-    """
-    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
