@@ -61,7 +61,7 @@ SCANNED = "l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-06-30'"
 def log_scan(spark, sf):
     addresses = [f"0x{p:040X}" for p in (5, 171, 1616)]
     rows = C.scan_logs(logs(spark, sf), datetime(1996, 1, 1), datetime(1997, 6, 30), addresses)
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("block_time").alias("first_ts"))
+    return rows.groupBy(F.col("kind").cast("bigint").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("block_time").alias("first_ts"))
 
 
 @query(
@@ -72,7 +72,7 @@ def known_log_scan(spark, sf):
     topics = D.default_registry().topic0s()
     rows = C.scan_known_logs(logs(spark, sf), topics, datetime(1996, 1, 1), datetime(1997, 6, 30))
     kind = F.when(F.col("kind") < 4, F.col("kind")).otherwise(9)
-    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(kind.cast("bigint").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def blocks(spark, sf):

@@ -18,7 +18,7 @@ edges AS (
   UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), 'nation', CAST(s_nationkey AS VARCHAR), 0.9, 0 FROM supplier
   UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'region', CAST(n_regionkey AS VARCHAR), 0.8, 0 FROM nation
   UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'nation', CAST((n_nationkey + 1) % 25 AS VARCHAR), 0.75, 1 FROM nation
-  UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'wallet', 'w' || n_nationkey, 0.7, 2 FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'wallet', 'w' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 0.7 ELSE 0.2 END, 2 FROM nation
   UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), 'customer', CAST(r_regionkey AS VARCHAR), 0.9, 0 FROM region
 )"""
 
@@ -45,7 +45,7 @@ def edges(spark, sf):
         edge(s, "supplier", F.col("s_suppkey"), "nation", F.col("s_nationkey"), 0.9, 0),
         edge(n, "nation", key, "region", F.col("n_regionkey"), 0.8, 0),
         edge(n, "nation", key, "nation", (key + 1) % 25, 0.75, 1),
-        edge(n.where(key % 2 == 0), "nation", key, "wallet", wallet, 0.7, 2),
+        edge(n, "nation", key, "wallet", wallet, F.when(key % 2 == 0, 0.7).otherwise(0.2), 2),
         edge(r, "region", F.col("r_regionkey"), "customer", F.col("r_regionkey"), 0.9, 0),
     ]
     result = frames[0]
@@ -167,7 +167,7 @@ def stitched_events(spark, sf):
 
 
 def _mappings(spark, sf):
-    """Two resolvers: rich customers by name, customers of even nations by nation."""
+    """Two resolvers: rich customers by name, customers of two segments by nation."""
     c = load(spark, sf, "customer")
 
     def mapping(df, to, kind, conf, source):
@@ -179,7 +179,7 @@ def _mappings(spark, sf):
 
     return [
         mapping(c.where("c_acctbal > 5000"), F.col("c_name"), "name", 0.9, "names"),
-        mapping(c.where("c_nationkey % 2 = 0"), F.col("c_nationkey").cast("string"), "nation", 0.8, "nations"),
+        mapping(c.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), F.col("c_nationkey").cast("string"), "nation", 0.8, "nations"),
     ]
 
 
@@ -189,7 +189,7 @@ SELECT CAST(o_custkey AS VARCHAR) AS from_entity, 'wallet' AS from_entity_type,
   CASE WHEN c_acctbal > 5000 THEN 'name' ELSE 'nation' END AS to_entity_type, 'resolved_to' AS relationship_type,
   CASE WHEN c_acctbal > 5000 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence_score,
   CASE WHEN c_acctbal > 5000 THEN 'names' ELSE 'nations' END AS source{more}
-FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000 OR c_nationkey % 2 = 0"""
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000 OR c_mktsegment IN ('BUILDING', 'MACHINERY')"""
 
 
 @query("batch_resolution", BATCH_SQL.format(more=""", '{"segment":"' || c_mktsegment || '"}' AS extra"""))

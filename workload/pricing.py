@@ -73,8 +73,8 @@ def _quotes(spark, sf):
 
 
 def part_metadata(spark, sf):
-    """Two versions of each part; every tenth part is unknown."""
-    part = load(spark, sf, "part").where("p_partkey % 10 != 0")
+    """Two versions of each part; small parts are unknown tokens."""
+    part = load(spark, sf, "part").where("p_size > 5")
     versions = F.array(
         F.struct(F.lit(datetime(2020, 1, 1)).alias("inserted_at"), F.lit(9).alias("decimals")),
         F.struct(F.lit(datetime(2021, 1, 1)).alias("inserted_at"), (F.col("p_size") % 4).alias("decimals")),
@@ -97,7 +97,7 @@ tr AS (SELECT {LINE_HASH_SQL} AS event_id, l_shipdate AS ts, 'p' || l_partkey AS
 q0 AS (SELECT 'p' || l_partkey AS token, o_orderdate AS ts, l_linenumber AS ver, CAST(round(l_extendedprice * 100) AS BIGINT) AS price
        FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 q AS (SELECT token, ts, arg_max(price, (ver, price)) AS price FROM q0 GROUP BY 1, 2),
-m AS (SELECT 'p' || p_partkey AS token, p_size % 4 AS decimals FROM part WHERE p_partkey % 10 <> 0),
+m AS (SELECT 'p' || p_partkey AS token, p_size % 4 AS decimals FROM part WHERE p_size > 5),
 pend AS (SELECT * FROM tr WHERE NOT done AND ts BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1999-12-31'),
 priced AS (SELECT t.*, m.decimals, q.price, q.ts AS price_ts,
              CASE WHEN m.decimals IS NOT NULL THEN CAST(t.qty * q.price AS DOUBLE) / (100 * power(10, m.decimals)) END AS in_usd,
@@ -202,14 +202,14 @@ def stablecoin_flags(spark, sf):
 @query(
     "links_usd",
     f"""WITH {OUTS_SQL}, {INS_SQL}, {LINKS_SQL},
-q AS (SELECT o_orderpriority AS token, o_orderdate AS ts, max(o_orderkey % 1000) AS price FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)
+q AS (SELECT o_orderpriority AS token, o_orderdate AS ts, max(o_orderkey % 1000) AS price FROM orders GROUP BY 1, 2)
 SELECT event_id AS src_event_id, CAST(amount AS DOUBLE) * q.price / 100 AS amount_usd
 FROM (SELECT * FROM links WHERE dst_event_id IS NOT NULL) l ASOF LEFT JOIN q ON q.token = l.link_key_type AND l."timestamp" >= q.ts""",
 )
 def links_usd(spark, sf):
     outs = order_outs(spark, sf).withColumn("token_out", F.col("link_key_type"))
     matched = L.match(outs, lineitem_ins(spark, sf))
-    prices = load(spark, sf, "orders").where("o_orderkey % 7 = 0").select(
+    prices = load(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("token_address"), F.lit("sales").alias("chain"),
         F.col("o_orderdate").cast("timestamp").alias("timestamp"), (F.col("o_orderkey") % 1000).alias("price_usd"),
     )
@@ -240,7 +240,7 @@ def price_payloads(spark, sf):
 
 
 def requested_tokens(spark, sf):
-    return load(spark, sf, "part").where("p_partkey % 2 = 0").select(
+    return load(spark, sf, "part").select(
         F.explode(F.array(F.lit("ethereum"), F.lit("base"), F.lit("unknown"))).alias("chain"),
         F.concat(F.lit("0xP"), "p_partkey").alias("token_address"),
     )
@@ -250,7 +250,7 @@ PRICES_SQL = """
 pl AS (SELECT l_orderkey, l_partkey, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, max(l_linenumber) AS line FROM lineitem GROUP BY 1, 2),
 pr AS (SELECT '0xP' || l_partkey AS token_address, CASE o_orderpriority WHEN '1-URGENT' THEN 'ethereum' ELSE 'base' END AS chain,
          o_orderdate AS "timestamp", CAST(cents AS DOUBLE) AS price_usd, CASE WHEN line < 4 THEN line END::DOUBLE AS volume_24h_usd
-       FROM pl JOIN orders ON o_orderkey = l_orderkey WHERE line <> 7 AND o_orderpriority <> '5-LOW' AND l_partkey % 2 = 0)"""
+       FROM pl JOIN orders ON o_orderkey = l_orderkey WHERE line <> 7 AND o_orderpriority <> '5-LOW')"""
 
 
 @query("price_rows", f"WITH {PRICES_SQL} SELECT *, 'coingecko' AS source FROM pr")
@@ -298,7 +298,7 @@ def contract_info(spark, sf):
 @query(
     "latest_metadata",
     """SELECT 'p' || p_partkey AS token_address, upper(p_brand) AS symbol, p_size % 4 AS decimals, p_name AS name,
-  TIMESTAMP '2021-01-01' AS inserted_at FROM part WHERE p_partkey % 10 <> 0""",
+  TIMESTAMP '2021-01-01' AS inserted_at FROM part WHERE p_size > 5""",
 )
 def latest_metadata(spark, sf):
     return TK.latest_metadata(part_metadata(spark, sf)).drop("chain")

@@ -46,14 +46,14 @@ def campaign_events(spark, sf):
 
 
 def device_links(spark, sf):
-    """Devices of three in four users are linked to the user's wallet."""
-    rows = load(spark, sf, "events").select("user_id").distinct().where("user_id % 4 != 0").select(
+    """Each device is linked to its user's wallet, a quarter of them too weakly to count."""
+    rows = load(spark, sf, "events").select("user_id").distinct().select(
         F.concat(F.lit("d"), "user_id").alias("from_entity"),
         F.lit("device_id").alias("from_entity_type"),
         F.concat(F.lit("w"), "user_id").alias("to_entity"),
         F.lit("wallet").alias("to_entity_type"),
         F.lit("linked_via_signup").alias("relationship_type"),
-        F.lit(0.95).alias("confidence_score"),
+        F.when(F.col("user_id") % 4 != 0, 0.95).otherwise(0.3).alias("confidence_score"),
         F.lit("app").alias("source"),
     )
     return conform(rows, ENTITY_RELATIONSHIPS)
@@ -205,7 +205,7 @@ def integrator_events(spark, sf):
         F.concat(F.lit("p"), "l_partkey").alias("entity_id"),
         kind.alias("event_type"), F.col("l_linestatus").alias("chain"), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
     )
-    return rows.where((F.col("timestamp") <= F.lit(AS_OF)) & ~F.col("integrator_id").endswith("7"))
+    return rows.where(F.col("timestamp") <= F.lit(AS_OF))
 
 
 def integrators(spark, sf):
@@ -221,7 +221,7 @@ def integrators(spark, sf):
 @query(
     "health_signals",
     """WITH ev AS (SELECT 's' || l_suppkey AS id, l_partkey AS u, l_returnflag AS flag, l_linestatus AS chain, l_shipdate AS ts FROM lineitem
-  WHERE l_shipdate <= TIMESTAMP '1999-01-15' AND l_suppkey % 10 <> 7),
+  WHERE l_shipdate <= TIMESTAMP '1999-01-15'),
 pu AS (SELECT id, u, count(*) AS n, count(*) FILTER (flag = 'A') AS b, count(*) FILTER (flag = 'R') AS e, max(ts) AS last_ts FROM ev GROUP BY 1, 2),
 us AS (SELECT id, count(*) FILTER (b > 0 AND b = n) AS bo, count(*) FILTER (b > 0) AS bu, sum(n) AS n, sum(e) AS e, max(last_ts) AS last_ts FROM pu GROUP BY 1),
 ch AS (SELECT id, count(*) FILTER (chain <> 'F') AS other FROM (SELECT DISTINCT id, chain FROM ev) GROUP BY 1),

@@ -105,7 +105,7 @@ def links_strict(spark, sf):
 )
 def links_sample(spark, sf):
     rows = L.sample_links(L.match(order_outs(spark, sf), lineitem_ins(spark, sf)))
-    return rows.select("link_key_type", "link_key", "sample_no")
+    return rows.select("link_key_type", "link_key", F.col("sample_no").cast("bigint").alias("sample_no"))
 
 
 @query(
@@ -194,7 +194,8 @@ def _arrivals(spark, sf):
 )
 def next_events_after_arrival(spark, sf):
     followed = rollups.after_arrivals(_arrivals(spark, sf), within=60 * DAY)
-    return rollups.next_events(followed, 3).select("arrival_id", "position", "event_id")
+    rows = rollups.next_events(followed, 3)
+    return rows.select("arrival_id", F.col("position").cast("bigint").alias("position"), "event_id")
 
 
 @query(
