@@ -71,15 +71,29 @@ def match_stream(
     return src.join(dst, near, "leftOuter").drop("dst_link_key")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what has arrived into Parquet files and return them as a table."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", state_partitions: int | None = None
+) -> DataFrame:
+    """Process what has arrived into Parquet files and return them as a table.
+
+    ``state_partitions`` is the number of partitions the state keeps; a stream
+    fixes it at its first start, and restarts with the same checkpoint keep it.
+    """
+    spark = stream.sparkSession
+    setting = "spark.sql.shuffle.partitions"
+    session_value = spark.conf.get(setting)
+    if state_partitions is not None:
+        spark.conf.set(setting, str(state_partitions))
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(setting, session_value)  # a started stream has its own copy
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path)

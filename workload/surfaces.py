@@ -257,7 +257,8 @@ def _stream(spark, sf, table):
 
 def _run(spark, stream, name):
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    return jobs.run_available(stream, f"{base}/rows", f"{base}/checkpoint")
+    partitions = spark.sparkContext.defaultParallelism
+    return jobs.run_available(stream, f"{base}/rows", f"{base}/checkpoint", state_partitions=partitions)
 
 
 def _event_stream(spark, sf):
