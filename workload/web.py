@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from wayline.functions.scalars import cursor_of
+from wayline.functions.scalars import cursor_of, minute_timestamp
 from wayline.sources import product_events as PE
 from wayline.sources import web_report as WR
 from workload.registry import query
@@ -105,8 +105,6 @@ def web_report_stable_ids(spark, sf):
     """SELECT event_id, CASE WHEN event_id % 5 < 3 THEN date_trunc('minute', ts)::TIMESTAMP ELSE TIMESTAMP '2024-02-01' END AS ts FROM events""",
 )
 def report_minutes(spark, sf):
-    from wayline.functions.scalars import minute_timestamp
-
     good = F.date_format("ts", "yyyyMMddHHmm")
     text = F.when(F.col("event_id") % 5 < 3, good).when(F.col("event_id") % 5 == 3, F.left(good, F.lit(8))).otherwise(
         F.concat(F.lit("202413"), F.right(good, F.lit(6)))
