@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.tables import arrow_schema, as_table, fresh
+from wayline.llm.tables import arrow_schema, as_table, fresh, plus
 from wayline.llm.words import U64, covered, mix, per_row, repeated, span_codes, rolling, words_of
 from wayline.session import materialize
 
@@ -70,9 +70,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
 def with_measures(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
     """All columns of the documents, and the measures under names the documents don't have."""
     names = {m: fresh(docs, f"q_{m}") for m in MEASURES}
-    kinds = docs.schema
-    for name in names.values():
-        kinds = type(kinds)([*kinds.fields, *type(kinds)().add(name, "bigint").fields])
+    kinds = plus(docs.schema, **{name: "bigint" for name in names.values()})
 
     def run(batches):
         for batch in batches:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -30,7 +29,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def map_batches(df: DataFrame, schema: str, each: Callable[[pa.Table], dict]) -> DataFrame:
     """mapInArrow with a function from a table to columns by name."""
-    kinds = T._parse_datatype_string(schema)
+    kinds = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +49,9 @@ def as_table(columns: dict, arrow: pa.Schema) -> pa.Table:
 
 
 def arrow_schema(schema: str) -> pa.Schema:
-    return to_arrow_schema(T._parse_datatype_string(schema))
+    return to_arrow_schema(T.StructType.fromDDL(schema))
 
 
-def share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(0.0)
+def plus(schema: T.StructType, **kinds: str) -> T.StructType:
+    """The schema with more fields, by their DDL types."""
+    return T.StructType([*schema.fields, *[T.StructType.fromDDL(f"`{n}` {k}").fields[0] for n, k in kinds.items()]])
