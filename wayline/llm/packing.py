@@ -6,7 +6,7 @@ rest (less than a capacity) is packed. Rests are dealt by a hash to groups of so
 each packed in one task: in descending order of tokens, each goes to the sequence of lowest
 cost so far that has room for it. A group opens just as many sequences as its tokens fill, so
 at the end some rests fit nowhere whole: these are cut to fill what is left, largest gap
-first. All sequences of a group but one are full, whatever the lengths are.
+first. Less than one capacity stays free in a group, whatever the lengths are.
 
 Defined results: a null text is empty, a document of one end id; ids are those of whole texts;
 equal lengths go by id, then by text code; rows of equal id or repeated rows are packed each;

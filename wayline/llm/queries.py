@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import chat_format, jaccard, licenses, mixing, packing, quality_rules, repeats, token_files
+from wayline.llm import (
+    chat_format,
+    embeddings_forest,
+    jaccard,
+    licenses,
+    mixing,
+    ordinal_quality,
+    packing,
+    quality_rules,
+    repeats,
+    token_files,
+)
 from wayline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +218,20 @@ def token_file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_cost_balanced_packing")
 def cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# a fitted model and an approximate search have no SQL: tests measure held-out accuracy and recall
+
+
+@query("op1_ordinal_quality")
+def ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 poor, 2 good. Documents that are good with half a chance at least are kept."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = ordinal_quality.train(docs, labels.select("doc_id", grade.alias("grade")))
+    return ordinal_quality.score(docs, model, tail=2).withColumn("kept", F.col("tail_probability") >= 0.5)
+
+
+@query("op4_hash_prefix_forest")
+def hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
