@@ -1,33 +1,77 @@
-"""The corpus pipeline: documents through quality rules to packed sequences."""
+"""The corpus pipeline: documents through quality rules to packed sequences.
+
+    quality_rules    documents that break the rules go
+    near_duplicates  one document of each group of near duplicates stays
+    repeats          passages of 20 words or more that also stand earlier go from the texts
+    source_mixing    documents are taken by the target weights of their sources, once an epoch
+    packing          token pieces in sequences of 1024
+
+Every stage takes all rows its predecessor kept and, but for the last, returns the columns of
+documents. Repeated rows of one id are near duplicates of each other: one stays. Rows without
+an id pass the second stage. A text that loses words is its kept words joined by one space.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from wayline.llm import mixing, quality_rules
+from wayline.llm import jaccard, mixing, packing, quality_rules, repeats
 from wayline.llm.queries import MIX
-from wayline.llm.tables import table
+from wayline.llm.tables import fresh, table
 from wayline.session import materialize
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules and their host's verdict."""
     return quality_rules.keep(docs)
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the target weights, once per epoch they are taken in."""
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of similar texts connect, the document of the smallest id."""
+    found = jaccard.join(docs)
+    lost = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("lost_id")).distinct(), "lost")
+    kept = docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
+    again = fresh(docs, "again")
+    # rows are already together by id
+    kept = kept.withColumn(again, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return kept.where(F.col("doc_id").isNull() | (F.col(again) == 1)).select(*[kept[f"`{c}`"] for c in docs.columns])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that stand earlier; other texts as they are."""
+    added = {name: fresh(docs, name) for name in ("n_removed", "kept_text")}
+    cut = repeats.remove_repeats(docs)
+    lost = F.col(added["n_removed"]) > 0
+    text = F.when(lost, F.col(added["kept_text"])).otherwise(cut["text"])
+    new = {"text": text, "n_chars": F.when(lost, F.char_length(F.col(added["kept_text"])).cast("long")).otherwise(cut["n_chars"]) if "n_chars" in docs.columns else None}
+    return cut.select(*[new[c].alias(c) if c in new else cut[f"`{c}`"] for c in docs.columns])
+
+
+def take_by_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the target weights, once for each epoch they are taken in."""
     return mixing.mix_documents(docs, MIX)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", rules),
-    ("source_mixing", mixed),
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_by_rules),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("source_mixing", take_by_weights),
+    ("packing", pack),
 ]
 
-#: The joins, repeats and token ids have no SQL: the pipeline is tested stage by stage.
+#: Token ids have no SQL: each stage is tested against brute force.
 ORACLE_SQL = None
 
 
