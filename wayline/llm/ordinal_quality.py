@@ -44,10 +44,10 @@ class Fit:
     max_rows: int = 20_000
     min_documents: int = 5
     min_chi_squared: float = 30.0
-    rounds: int = 6
-    epochs: int = 3
-    step: float = 0.05
-    threshold_step: float = 0.01
+    rounds: int = 10
+    epochs: int = 5
+    step: float = 0.1
+    threshold_step: float = 0.03
     seed: int = 5
 
 
