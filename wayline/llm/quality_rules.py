@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.tables import arrow_schema, as_table, fresh, plus
-from wayline.llm.words import U64, covered, mix, per_row, repeated, span_codes, rolling, words_of
+from wayline.llm.words import SPACED, U64, covered, mix, per_row, repeated, span_codes, rolling, words_of
 from wayline.session import materialize
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -46,17 +46,15 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     for w in words_of(column):
         at = slice(w.first, w.first + w.n_rows)
         out["n_words"][at] = w.counts
-        inside = np.zeros(len(w.data) + 1, np.int64)
-        np.add.at(inside, w.starts, 1)
-        np.add.at(inside, w.ends, -1)
-        inside = np.cumsum(inside)[:-1] > 0
-        out["word_chars"][at] = per_row(inside & (w.data & 0xC0 != 0x80), w.rows)
+        out["word_chars"][at] = per_row(SPACED[w.data] & (w.data & 0xC0 != 0x80), w.rows)
         out["n_symbols"][at] = per_row(_SYMBOL[w.data], w.rows)
         breaks = np.flatnonzero(w.data == 10)
         edges = np.unique(np.concatenate([breaks + 1, w.rows]))
         begin, end = edges[:-1], edges[1:]
         end = end - (w.data[end - 1] == 10)
-        full = per_row(np.isin(np.arange(len(w.data)), w.starts, assume_unique=True), edges) > 0 if len(edges) > 1 else np.zeros(0, bool)
+        begins = np.zeros(len(w.data), bool)
+        begins[w.starts] = True
+        full = per_row(begins, edges) > 0
         begin, end = begin[full], end[full]
         row = np.searchsorted(w.rows, begin, "right") - 1
         again, _ = repeated(span_codes(w.data, begin, end) + mix(row.astype(U64)))
@@ -110,19 +108,21 @@ def soft_failed(rules: Rules, c: dict[str, Column]) -> Column:
 
 
 def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
-    """host, host_docs, host_failed, host_rate, host_rejected; one row per host, null host included."""
+    """host, host_docs, host_failed, host_rate, host_rejected; one row per host, null host included.
+
+    The totals are written; two numbers of the prior reach the driver.
+    """
     c = {m: F.col(m) for m in MEASURES}
     failed = base_failed(rules, c) | soft_failed(rules, c)
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(failed.cast("long")).alias("host_failed"))
+    hosts = materialize(hosts, "hosts")
     raw = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v"))
+    mean, variance = hosts.agg(F.avg(raw), F.coalesce(F.var_samp(raw), F.lit(0.0))).first()
+    mean, variance = mean or 0.0, variance or 0.0
     # strength of the prior in documents; equal hosts give the bound
-    strength = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(1e6)
-    prior = prior.select("m", F.least(F.greatest(strength, F.lit(1.0)), F.lit(1e6)).alias("s"))
-    rate = (F.col("host_failed") + F.col("m") * F.col("s")) / (F.col("host_docs") + F.col("s"))
-    # the prior is one row
-    found = hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failed", rate.alias("host_rate"))
-    return found.withColumn("host_rejected", F.col("host_rate") >= rules.host_rate)
+    strength = min(max(mean * (1 - mean) / variance - 1 if variance > 0 else 1e6, 1.0), 1e6)
+    rate = (F.col("host_failed") + mean * strength) / (F.col("host_docs") + strength)
+    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", rate >= rules.host_rate)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
@@ -133,7 +133,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     their written size allows, and else splits a hot host's rows.
     """
     measured = materialize(measures(docs, id_col, text_col, host_col), "measures")
-    hosts = materialize(host_verdicts(measured, rules), "hosts")
+    hosts = host_verdicts(measured, rules)
     c = {m: measured[m] for m in MEASURES}
     joined = measured.join(hosts, measured["host"].eqNullSafe(hosts["host"]), "left")
     bad, soft = base_failed(rules, c), soft_failed(rules, c)
@@ -153,7 +153,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     Two passes over the texts (host totals; verdicts) instead of one pass and a join of whole
     texts on their id: no text is shuffled.
     """
-    hosts = materialize(host_verdicts(measures(docs, id_col, text_col, host_col), rules), "hosts")
+    hosts = host_verdicts(measures(docs, id_col, text_col, host_col), rules)
     measured, names = with_measures(docs, text_col)
     c = {m: measured[f"`{n}`"] for m, n in names.items()}
     kept = measured.where(~base_failed(rules, c))
