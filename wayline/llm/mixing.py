@@ -90,14 +90,13 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """domain, lang, source, tokens, budget of each leaf, from leaves with their tokens."""
     leaves = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
-    total = leaves.agg(F.expr(f"cast((cast(coalesce(sum(tokens), 0) as decimal(19,0)) * {mix.budget_pct}) div 100 as bigint)").alias("above"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("most"))
-    # one row
-    above = total.select(F.least("above", "most").alias("above"))
+    tokens, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("capacity"), F.lit(0))).first()
+    above = F.lit(min(tokens * mix.budget_pct // 100, most)).cast("long")
     level = None
     for depth in range(1, len(TREE) + 1):
         path, parent = list(TREE[:depth]), list(TREE[: depth - 1])
         nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(mix, depth))
-        nodes = nodes.join(F.broadcast(above)) if level is None else nodes.join(level, parent)
+        nodes = nodes.withColumn("above", above) if level is None else nodes.join(level, parent)
         level = _share(nodes, parent or [F.lit(0)], TREE[depth - 1]).select(*path, F.col("budget").alias("above"))
     return leaves.join(level, list(TREE)).select(*TREE, "tokens", F.col("above").alias("budget"))
 
@@ -117,7 +116,8 @@ def leaf_plan(docs: DataFrame, mix: Mix, doc_id: str, text: str, lang: str, sour
     tree = [c.alias(name) for name, c in zip(TREE, _tree(docs, lang, source))]
     tokens = F.coalesce(F.regexp_count(docs[f"`{text}`"], F.lit(WORD)), F.lit(0)).cast("long")
     narrow = materialize(docs.select(docs[f"`{doc_id}`"].alias("doc_id"), *tree, tokens.alias("n_tokens")), "mix-tokens")
-    shares = budgets(narrow.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), mix)
+    leaves = materialize(narrow.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
+    shares = budgets(leaves, mix)
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)
     shares = shares.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
     shares = materialize(shares, "mix-budgets")
