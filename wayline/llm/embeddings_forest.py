@@ -11,7 +11,7 @@ Queries are packed too, and meet the blocks by a join on the block number: a pai
 one row, results of a pair are the nearest of one block, and a last ranking keeps the nearest
 of all. Index and memory of a task are bounded by the block; all vectors are indexed.
 
-`share` is the part of a block that the ascent gathers. Vectors without any structure (all
+The ascent gathers the part `share` of a block, and at least `least` vectors. Vectors without any structure (all
 directions equally likely) need most: their nearest neighbours are hardly nearer than others.
 Where neighbours are close, a few hundredths do.
 
@@ -37,7 +37,9 @@ BITS = 64
 #: Vectors in a block, and queries in a pack.
 BLOCK_VECTORS = 16_384
 PACK_QUERIES = 4_096
+#: Part of a block that the ascent gathers, and the vectors it gathers at least.
 SHARE = 0.35
+LEAST = 1_000
 
 
 class Forest:
@@ -113,6 +115,7 @@ def nearest(
     vector_col: str = "embedding",
     trees: int = TREES,
     share: float = SHARE,
+    least: int = LEAST,
     block_vectors: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest found.
@@ -139,7 +142,7 @@ def nearest(
                 ids, own = read(ids, "<i8"), read(data, "<f8").reshape(-1, dim)
                 q_ids, queries = read(q_ids, "<i8"), read(q_data, "<f8").reshape(-1, dim)
                 forest = Forest(own, trees)
-                wanted = max(4 * k, math.ceil(share * len(own)))
+                wanted = max(least, 4 * k, math.ceil(share * len(own)))
                 for a in range(0, len(queries), 256):
                     for q, found in zip(range(a, len(queries)), forest.candidates(queries[a : a + 256], wanted)):
                         found = found[ids[found] != q_ids[q]]
