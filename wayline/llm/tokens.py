@@ -20,10 +20,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Pieces in each of a worker's two cache generations, under 250 MB together; of effect on speed only.
-CACHED = 600_000
+CACHED = 500_000
 
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Signs that end a word as a pre-token of their own.
+_SIGNS = ".,;:!?*#$%&|"
 _BEYOND_LATIN = regex.compile(r"[^\x00-ɏ]|İ")
 
 # byte-level vocabularies write a byte as a character: visible Latin-1 as itself, the rest from 256 on
@@ -78,18 +80,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.cut, self.pre_tokens = CUTS.get(os.path.basename(path), (lambda text: None, None))
+        self.lowers = self.pre_tokens is _word_pre_tokens
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pieces = _Pieces(self._piece, {})
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
+    def _tokenize(self, characters: str) -> bytes:
+        return np.array([x.id for x in self.model.tokenize(characters)], self.dtype).tobytes()
+
     def _piece(self, piece: str) -> bytes | None:
+        word = piece.rstrip(_SIGNS)
+        if word != piece and word[-1:].isalpha():  # the word itself is likely known
+            ids = self.pieces[word]
+            return ids if ids is None else ids + self.pieces[piece[len(word) :]]
+        if piece.isascii() and piece.isalpha():  # one pre-token
+            if self.lowers and not piece.islower():
+                return self.pieces[piece.lower()]
+            return self._tokenize(piece)
         words = self.pre_tokens(piece)
         if words is None:
             return None
-        ids = [x.id for w in words for x in self.model.tokenize(w.encode().decode("latin-1").translate(_AS_CHARACTER))]
-        return np.array(ids, self.dtype).tobytes()
+        return b"".join(self._tokenize(w.encode().decode("latin-1").translate(_AS_CHARACTER)) for w in words)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; none for null."""
