@@ -138,7 +138,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
     """Rows of shards: range_no, shard_no (in ascending id), n_ids, doc_ids, data."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = narrow.repartitionByRange(max(1, math.ceil(size / RANGE_BYTES)), F.col("doc_id").asc_nulls_first(), "text")
+    ranges = narrow.repartitionByRange(max(1, math.ceil(size / RANGE_BYTES)), F.col("doc_id").asc_nulls_first())
     ranges = ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     out = arrow_schema(kinds := "range_no int, shard_no int, n_ids long, doc_ids array<long>, data binary")
 
