@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from wayline.llm.tables import fresh
 
 #: Text of a block, about. The arrays for it take some 15 times as much in a task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str, int]:

@@ -42,10 +42,10 @@ from wayline.llm.words import U64, mix, rolling, words_of
 from wayline.session import materialize
 
 #: Grams of a census group, about: 4 to 6 bytes each as sent.
-GROUP_GRAMS = 3_000_000
+GROUP_GRAMS = 2_250_000
 #: Grams of the sets in a search task, at most (a longer single set is a chunk of its own): 8 bytes
 #: each as sent, and some 8 times as much for the index.
-TASK_GRAMS = 3_000_000
+TASK_GRAMS = 2_250_000
 
 
 def least_overlap(n, pct: int):

@@ -44,7 +44,7 @@ DEPTHS = (4, 10)
 #: Bits of the label at depth 4 that the census counts.
 CENSUS_BITS = 12
 #: Paths in a group, about: 8 bytes each, and some 6 times as much to sort them.
-GROUP_PATHS = 2_500_000
+GROUP_PATHS = 2_000_000
 
 
 def path_labels(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
