@@ -11,7 +11,7 @@ and its counts, so that a reader finds a document's shard without opening others
 
 Shard layout, little endian: magic `WPF1`; u4 counts of ids, documents, blocks, exceptions;
 u4 document ends; u4 block byte starts and their end; u4 exception starts by block and their
-end; u4 block minima; u1 block widths; exceptions u1 place and u4 high bits; packed values.
+end; u4 block minima; u1 block widths; exceptions u1 place and u4 high bits; packed values, a plane of bits at a time.
 
 Defined results: a null text is empty, a document of one end id; documents of equal id follow by
 text, repeated rows one after another; null ids come first; no rows give no shards. Only the
@@ -44,24 +44,28 @@ MAGIC = b"WPF1"
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of BLOCK values below 2**width as rows of bytes."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of BLOCK values below 2**width as rows of bytes, one plane of bits after another."""
+    planes = [np.packbits(((values >> np.uint32(bit)) & np.uint32(1)).astype(np.uint8), axis=1) for bit in range(width)]
+    return np.concatenate(planes, axis=1)
 
 
 def unpack_bits(data: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(data, axis=1, bitorder="little").reshape(len(data), BLOCK, width)
     out = np.zeros((len(data), BLOCK), np.uint32)
-    for bit in range(width):
-        out |= bits[:, :, bit].astype(np.uint32) << np.uint32(bit)
+    for bit, plane in enumerate(np.split(data, width, axis=1)):
+        out |= np.unpackbits(plane, axis=1).astype(np.uint32) << np.uint32(bit)
     return out
 
 
+_LENGTHS = np.zeros(1 << 16, np.uint8)  # of 16-bit numbers, in bits
+for _bit in range(16):
+    _LENGTHS[1 << _bit :] = _bit + 1
+
+
 def _bit_length(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(values.shape, np.uint8)
-    for bit in range(32):
-        out += (values >> np.uint32(bit)) > 0
-    return out
+    high = values >> np.uint32(16)
+    if not high.any():
+        return _LENGTHS[values]
+    return np.where(high > 0, 16 + _LENGTHS[high], _LENGTHS[values & np.uint32(0xFFFF)])
 
 
 def encode_shard(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -72,8 +76,8 @@ def encode_shard(ids: np.ndarray, ends: np.ndarray) -> bytes:
     blocks = padded.reshape(n_blocks, BLOCK)
     least = blocks.min(axis=1) if n_blocks else np.empty(0, np.uint32)
     rest = blocks - least[:, None]
-    lengths = np.sort(_bit_length(rest), axis=1)
-    widths = lengths[:, math.ceil(BLOCK * PERCENTILE / 100) - 1] if n_blocks else np.empty(0, np.uint8)
+    nth = math.ceil(BLOCK * PERCENTILE / 100) - 1
+    widths = np.partition(_bit_length(rest), nth, axis=1)[:, nth] if n_blocks else np.empty(0, np.uint8)
     high = rest >> widths[:, None].astype(np.uint32)
     block, place = np.nonzero(high)
     low = rest & ((np.uint32(1) << widths[:, None].astype(np.uint32)) - np.uint32(1))
