@@ -64,6 +64,15 @@ def test_large_components_are_cut(spark):
     assert met == wanted
 
 
+def test_a_component_of_fewer_sets_than_chunks(spark):
+    words = [f"w{i}" for i in range(400)]
+    for first in range(0, 12, 3):  # chunks are dealt by the hash of the id
+        rows = [(first + i, " ".join(words[: 400 - i])) for i in range(3)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = jaccard.join(docs, block_bytes=1500, task_grams=300)
+        assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5, 80)
+
+
 def test_repeated_rows_nulls_and_other_columns(spark):
     text = "one two three four five six seven"
     rows = [(1, text, 1, "q"), (1, text, 1, "q"), (None, text, 2, "q"), (4, text + " eight", 3, None), (5, None, 4, None)]

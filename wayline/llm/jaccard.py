@@ -216,12 +216,14 @@ class Search:
         return total
 
 
-def search_task(ids: np.ndarray, copies: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray], pct: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def search_task(ids: np.ndarray, copies: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray], pct: int, across: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that join the sets of a task, and each set's number of linked documents.
 
-    If the sets are of two chunks, only pairs across them are searched for.
+    If the task is across two chunks, only pairs of both are searched for; one of them may have no sets.
     """
-    search, across = Search(sets, pct), len(np.unique(chunk)) > 1
+    if across and len(np.unique(chunk)) < 2:
+        return [], np.zeros(len(sets), np.int64)
+    search = Search(sets, pct)
     parent = list(range(len(sets)))
 
     def root(x: int) -> int:
@@ -244,7 +246,10 @@ def search_task(ids: np.ndarray, copies: np.ndarray, chunk: np.ndarray, sets: li
 
 
 def _tasks(groups: DataFrame, task_grams: int) -> DataFrame:
-    """doc_id, a, b, copies, task, chunk: small components share tasks, a large one is cut into pairs of chunks."""
+    """doc_id, a, b, copies, task, chunk, other: small components share tasks, a large one is cut into pairs of chunks.
+
+    other is the chunk that the row's chunk is paired with in the task, itself included.
+    """
     size = groups.groupBy("component").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
     groups = groups.join(size.where("sets > 1"), "component")
     total = size.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
@@ -252,11 +257,11 @@ def _tasks(groups: DataFrame, task_grams: int) -> DataFrame:
     chunks = F.ceil(F.col("grams") * 2 / task_grams)
     own = F.pmod(F.xxhash64("doc_id", F.lit(5)), chunks)
     small = groups.where(F.col("grams") <= task_grams // 2)
-    small = small.select("doc_id", "a", "b", "copies", F.pmod(F.xxhash64("component", F.lit(3)), F.lit(shared)).cast("string").alias("task"), F.lit(0).cast("long").alias("chunk"))
+    small = small.select("doc_id", "a", "b", "copies", F.pmod(F.xxhash64("component", F.lit(3)), F.lit(shared)).cast("string").alias("task"), F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("other"))
     large = groups.where(F.col("grams") > task_grams // 2).withColumn("chunk", own)
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     task = F.concat_ws("-", F.lit("c"), "component", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    return small.unionByName(large.select("doc_id", "a", "b", "copies", task.alias("task"), "chunk"))
+    return small.unionByName(large.select("doc_id", "a", "b", "copies", task.alias("task"), "chunk", "other"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, pct: int = 80, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS) -> DataFrame:
@@ -276,15 +281,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     groups = heads.join(reach, heads["class_id"] == reach["node"]).select("doc_id", "a", "b", "n", "copies", "component")
     tasks = _tasks(materialize(groups, "gram-groups"), task_grams).join(classes.select("a", "b", "class_id"), ["a", "b"])
     sets = found.where("grams is not null").select("doc_id", "a", "b", "grams")
-    sets = sets.join(tasks, ["doc_id", "a", "b"]).select("class_id", "a", "b", "copies", "task", "chunk", "grams")
+    sets = sets.join(tasks, ["doc_id", "a", "b"]).select("class_id", "a", "b", "copies", "task", "chunk", "other", "grams")
     out = arrow_schema(kinds := "a long, b long, links long")
 
     def run(task: pa.Table) -> pa.Table:
         rows = task.combine_chunks()
         keys = np.stack([rows[c].to_numpy() for c in ("a", "b")])
         rows = rows.take(np.sort(np.unique(keys, axis=1, return_index=True)[1]))  # rows of equal id and text
-        ids, copies, chunk = (rows[c].to_numpy() for c in ("class_id", "copies", "chunk"))
-        links, counts = search_task(ids, copies, chunk, [np.frombuffer(x.as_buffer(), "<u8") for x in rows["grams"]], pct)
+        ids, copies, chunk, other = (rows[c].to_numpy() for c in ("class_id", "copies", "chunk", "other"))
+        links, counts = search_task(ids, copies, chunk, [np.frombuffer(x.as_buffer(), "<u8") for x in rows["grams"]], pct, bool(chunk[0] != other[0]))
         some = np.flatnonzero(counts)
         a = np.concatenate([np.array([x for x, _ in links], np.int64), ids[some]])
         b = np.concatenate([np.array([x for _, x in links], np.int64), ids[some]])
