@@ -36,11 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group that links of similar texts connect, the document of the smallest id."""
     found = jaccard.join(docs)
     lost = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("lost_id")).distinct(), "lost")
+    # rows without an id all stay: apart, as they would meet in one task
+    none, docs = docs.where(F.col("doc_id").isNull()), docs.where(F.col("doc_id").isNotNull())
     kept = docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
     again = fresh(docs, "again")
     # rows are already together by id
     kept = kept.withColumn(again, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return kept.where(F.col("doc_id").isNull() | (F.col(again) == 1)).select(*[kept[f"`{c}`"] for c in docs.columns])
+    return kept.where(F.col(again) == 1).select(*[kept[f"`{c}`"] for c in docs.columns]).unionByName(none)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

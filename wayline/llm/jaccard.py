@@ -105,7 +105,7 @@ def _length_class(counts: np.ndarray) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, block_bytes: int) -> DataFrame:
-    """doc_id, n (grams), a and b (codes of the whole set), short (grams of the short part that others have) and grams.
+    """doc_id, block, n (grams), a and b (codes of the whole set), short (grams of the short part that others have) and grams.
 
     short and grams are null for sets without partners, and for repeats of a set in its block.
     """
@@ -136,7 +136,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, bl
         return as_table({"block": group["block"], "part": group["part"], "lengths": [pack(x) for x in lengths]}, answered)
 
     answers = blocks.groupBy(block_col).applyInArrow(send, kinds).groupBy("part").applyInArrow(answer, answer_kinds)
-    out = arrow_schema(out_kinds := "doc_id long, n long, a long, b long, short array<long>, grams binary")
+    out = arrow_schema(out_kinds := "doc_id long, block int, n long, a long, b long, short array<long>, grams binary")
 
     def order(block: pa.Table, found: pa.Table) -> pa.Table:
         if block.num_rows == 0:
@@ -161,7 +161,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, bl
                 seen.add(key)
             shorts.append(part.view(np.int64) if len(part) else None)
             sets.append(pack(own) if len(part) else None)
-        columns = {"doc_id": block["doc_id"], "n": np.diff(bounds), "a": a, "b": b, "short": shorts, "grams": sets}
+        columns = {"doc_id": block["doc_id"], "block": block["block"], "n": np.diff(bounds), "a": a, "b": b, "short": shorts, "grams": sets}
         return as_table(columns, out)
 
     return blocks.groupBy(block_col).cogroup(answers.groupBy("block")).applyInArrow(order, out_kinds)
@@ -271,17 +271,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     narrow = found.select("doc_id", "n", "a", "b")
     classes = narrow.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "gram-classes")
-    # a class is searched for once, by the row of its smallest id that carries the set
-    heads = found.where("short is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"))
+    # a class is searched for once, by the row of its smallest id (and its first block) that carries the set
+    heads = found.where("short is not null").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "block")).alias("first"))
+    heads = heads.select("a", "b", "n", "first.doc_id", "first.block")
     heads = materialize(heads.join(classes, ["a", "b", "n"]), "gram-heads")
-    posts = found.where("short is not null").select("doc_id", "a", "b", F.explode("short").alias("gram"))
-    posts = materialize(posts.join(heads.select("doc_id", "a", "b", "class_id"), ["doc_id", "a", "b"]).select("class_id", "gram").distinct(), "gram-posts")
+    posts = found.where("short is not null").select("doc_id", "block", "a", "b", F.explode("short").alias("gram"))
+    posts = materialize(posts.join(heads.select("doc_id", "block", "a", "b", "class_id"), ["doc_id", "block", "a", "b"]).select("class_id", "gram").distinct(), "gram-posts")
     first = posts.groupBy("gram").agg(F.min("class_id").alias("b"))
     reach = components(posts.join(first, "gram").select(F.col("class_id").alias("a"), "b"))
     groups = heads.join(reach, heads["class_id"] == reach["node"]).select("doc_id", "a", "b", "n", "copies", "component")
-    tasks = _tasks(materialize(groups, "gram-groups"), task_grams).join(classes.select("a", "b", "class_id"), ["a", "b"])
-    sets = found.where("grams is not null").select("doc_id", "a", "b", "grams")
-    sets = sets.join(tasks, ["doc_id", "a", "b"]).select("class_id", "a", "b", "copies", "task", "chunk", "other", "grams")
+    tasks = _tasks(materialize(groups, "gram-groups"), task_grams).join(heads.select("a", "b", "block", "class_id"), ["a", "b"])
+    sets = found.where("grams is not null").select("doc_id", "block", "a", "b", "grams")
+    sets = sets.join(tasks, ["doc_id", "block", "a", "b"]).select("class_id", "a", "b", "copies", "task", "chunk", "other", "grams")
     out = arrow_schema(kinds := "a long, b long, links long")
 
     def run(task: pa.Table) -> pa.Table:
