@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from wayline.llm import (
     chat_format,
     embeddings_forest,
+    fill_middle,
     jaccard,
     licenses,
     mixing,
@@ -18,9 +20,12 @@ from wayline.llm import (
     packing,
     quality_rules,
     repeats,
+    resampling,
     token_files,
+    web_archive,
 )
 from wayline.llm.tables import table
+from wayline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -235,3 +240,85 @@ def ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_hash_prefix_forest")
 def hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op11_chunk_memo_fim",
+    r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x
+  FROM documents),
+h AS (SELECT *, len(us) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM u),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR h3 % 100 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1:b], '') AS middle, array_to_string(us[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""",
+)
+def chunk_memo_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restore(), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query(
+    "op12_position_table_resampling",
+    # the checksum byte by byte, over the distinct features
+    r"""
+WITH RECURSIVE bits AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+codes AS (SELECT list(c ORDER BY i) AS codes FROM bits WHERE k = 8),
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+f AS (
+  SELECT side, id, unnest(ws) AS feature FROM w
+  UNION ALL SELECT side, id, ws[i] || ' ' || ws[i + 1] FROM (SELECT side, id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+hashed AS (
+  SELECT feature, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(feature)) + 1), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i - 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, codes[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM f), codes),
+b AS (SELECT side, id, bucket FROM f JOIN hashed USING (feature)),
+counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM b GROUP BY bucket),
+total AS (SELECT sum(s)::DOUBLE + 10000 AS s, sum(t)::DOUBLE + 10000 AS t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln(((c.t + 1) * total.s) / ((c.s + 1) * total.t)))::BIGINT AS gain FROM counts c, total),
+sums AS (SELECT id, count(*) AS n, sum(gain) AS gain FROM b JOIN gains USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(gain::DOUBLE / n), 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(w.id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM w LEFT JOIN sums USING (id) WHERE side = 0),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * n // 100 THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)""",
+)
+def position_table_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_arc_to_warc",
+    r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS x, unhex(sha1(body))::BIT::VARCHAR AS bits FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + substr(bits, 1 + 5 * i, 5)::BIT::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
+)
+def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    arc = web_archive.write_arc(table(spark, sf_dir, "pages"), f"{folder}/arc")
+    warc = web_archive.convert(spark, arc, f"{folder}/warc")
+    return web_archive.page_records(spark, warc)
