@@ -115,9 +115,12 @@ def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         values = line.decode("utf-8", "replace").rstrip("\r\n").rstrip(" ")
         if at == 0 and not values.startswith("filedesc://"):
             raise ValueError(f"not an ARC file: {values[:60]!r}")
-        values = values.rsplit(" ", len(names) - 1)
-        if at == 0:  # its own line has the fields of its version: the length is last in both
-            values = values[0].split(" ")[:1] + ["0.0.0.0", *[v for v in values if re.fullmatch(r"\d{12,17}", v)][:1], "text/plain", values[-1]]
+        if at:
+            values = values.rsplit(" ", len(names) - 1)
+        else:  # its own line has the fields of its version: the length is last in all
+            parts = values.split(" ")
+            dates = [x for x in parts if re.fullmatch(r"\d{12,17}", x)]
+            values = [parts[0], "0.0.0.0", dates[0] if dates else "", "text/plain", parts[-1]]
         if len(values) != len(names) or not values[-1].isdecimal():
             continue
         block = stream.read(int(values[-1]))
