@@ -1,4 +1,9 @@
-"""The scheduled jobs, each one Spark plan from landed rows to tables."""
+"""The scheduled jobs, each one Spark plan from landed rows to snapshot tables.
+
+A run pulls a lookback that the run before has pulled in part, and may itself be
+repeated: rows that are stored already are left out by their keys, so the same
+run twice leaves the same tables.
+"""
 
 from __future__ import annotations
 
@@ -11,21 +16,20 @@ from wayline.operators.decode import DecoderRegistry, decode_logs
 from wayline.operators.enrich import enrich_window
 from wayline.operators.identity import relationship_rows, resolve_batch
 from wayline.operators.links import link_rows, match
-from wayline.sinks import tables
+from wayline.sinks import snapshots, tables
 from wayline.sources.chain_logs import normalise_logs, scan_logs
 
 
 def ingest_logs(landed: DataFrame, base: str, registry: DecoderRegistry | None = None) -> dict[str, int]:
     """Landed logs to the log and event tables under ``base``.
 
-    Events are decoded from the stored logs of this run's normalised frame, not
-    fetched again; a re-run replaces nothing and deduplication by event id makes
-    it harmless.
+    Events are decoded from this run's normalised frame, not fetched again.
+    Counts are those of the rows that are new.
     """
     logs = normalise_logs(landed)
-    n_logs = tables.write_table(tables.log_rows(logs), f"{base}/canonical_logs", "canonical_logs")
-    events = tables.deduplicate(decode_logs(logs, registry))
-    n_events = tables.write_table(tables.event_rows(events), f"{base}/canonical_events", "canonical_events")
+    n_logs = snapshots.insert_new(tables.log_rows(logs), f"{base}/canonical_logs", "canonical_logs")
+    events = tables.event_rows(decode_logs(logs, registry))
+    n_events = snapshots.insert_new(events, f"{base}/canonical_events", "canonical_events")
     return {"raw_logs_ingested": n_logs, "decoded_events": n_events}
 
 
@@ -48,7 +52,7 @@ def link_transfers(
     if arrivals is not None:
         within = F.col("timestamp").between(F.lit(end - 2 * lookback), F.lit(end))
         ins = ins.unionByName(arrivals.where(within), allowMissingColumns=True)
-    return tables.write_table(link_rows(match(outs, ins)), f"{base}/bridge_links", "bridge_links")
+    return snapshots.upsert(link_rows(match(outs, ins)), f"{base}/bridge_links", "bridge_links")
 
 
 def price_events(
@@ -65,6 +69,6 @@ def price_events(
 
 
 def resolve_identities(entities: DataFrame, resolvers: list[DataFrame], base: str) -> int:
-    """Resolve entities and append the links to the relationship table."""
+    """Resolve entities and add the links that the relationship table doesn't have."""
     rows = relationship_rows(resolve_batch(entities, resolvers))
-    return tables.write_table(rows, f"{base}/entity_relationships", "entity_relationships")
+    return snapshots.insert_new(rows, f"{base}/entity_relationships", "entity_relationships")

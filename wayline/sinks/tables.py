@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.functions.scalars import month_of
 from wayline.operators.enrich import affected_months, apply_updates
 from wayline.schema import (
     CANONICAL_EVENTS,
@@ -17,16 +16,8 @@ from wayline.schema import (
     conform,
     to_storage_nulls,
 )
-
-# Partition column (a month), the time it comes from, and the sort key per table.
-LAYOUT = {
-    "canonical_events": ("event_month", "timestamp", ["entity_id", "timestamp"]),
-    "canonical_logs": ("log_month", "inserted_at", ["block_number", "log_index"]),
-    "bridge_links": ("link_month", "src_block_time", ["link_key_type", "link_key", "src_chain", "dst_chain"]),
-    "token_prices": ("price_month", "timestamp", ["chain", "token_address", "timestamp"]),
-    "entity_relationships": (None, None, ["from_entity", "relationship_type", "to_entity"]),
-    "token_metadata": (None, None, ["chain", "token_address"]),
-}
+from wayline.sinks import snapshots
+from wayline.sinks.layout import LAYOUT, laid_out, with_options
 
 
 def event_rows(events: DataFrame) -> DataFrame:
@@ -52,26 +43,12 @@ def deduplicate(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def laid_out(df: DataFrame, table: str) -> DataFrame:
-    """Rows placed and sorted for the table.
-
-    Range partitioning on (month, sort key): files hold narrow key ranges, so a
-    query for one entity reads few of them, and an entity with very many events
-    spreads over several files, which hashing on the entity would not allow.
-    """
-    month, source, keys = LAYOUT[table]
-    if month is None:
-        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    df = df.withColumn(month, month_of(F.col(source)))
-    return df.repartitionByRange(month, *keys).sortWithinPartitions(month, *keys)
-
-
 def write_table(df: DataFrame, path: str, table: str, mode: str = "append") -> int:
     """Write the rows in the layout of the table and return how many there were."""
     month = LAYOUT[table][0]
     written = Observation()
     rows = laid_out(df, table).observe(written, F.count(F.lit(1)).alias("n"))
-    writer = rows.write.mode(mode).option("compression", "zstd")
+    writer = with_options(rows.write.mode(mode), table)
     if month is not None:
         writer = writer.partitionBy(month)
     writer.parquet(path)
@@ -79,6 +56,9 @@ def write_table(df: DataFrame, path: str, table: str, mode: str = "append") -> i
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a snapshot table, or the files of a plain one."""
+    if snapshots.is_snapshot_table(spark, path):
+        return snapshots.read(spark, path)
     return spark.read.parquet(path)
 
 
@@ -92,13 +72,15 @@ def month_between(df: DataFrame, table: str, start: datetime, end: datetime) ->
 
 
 def write_back(spark: SparkSession, path: str, updates: DataFrame, staging: str) -> int:
-    """Fill enrichment updates into the stored events, month by month.
+    """Fill enrichment updates into the stored events.
 
-    Plain Parquet has no row update: the months an update touches are computed
-    from the stored rows, rewritten to ``staging``, and only then replaced, so
-    a job lost halfway leaves the table as it was.  The list of months is the
-    one thing the driver sees.
+    The months an update touches are written anew.  A snapshot table swaps them
+    all in one rename.  Files of a plain folder have no such swap: the months go
+    to ``staging`` first and replace their folders one by one, so a job lost in
+    that last write leaves some months to be copied from ``staging``.
     """
+    if snapshots.is_snapshot_table(spark, path):
+        return snapshots.write_back(spark, path, updates)
     events = read_table(spark, path)
     months = [row[0] for row in affected_months(events, updates).collect()]
     if not months:

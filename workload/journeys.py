@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from wayline.operators import funnel, registry, rollups, trajectory as T
 from wayline.operators.trajectory import Filter
 from wayline.schema import extra_map, from_storage_nulls
-from wayline.sinks import tables
+from wayline.session import shared_folder
+from wayline.sinks import snapshots, tables
 from workload.registry import query
 from workload.standins import APP_EVENTS_SQL as EV
 from workload.standins import app_events, load
@@ -302,3 +304,20 @@ def repeated_ingest(spark, sf):
     again = first.where(F.col("timestamp") >= F.lit(datetime(2024, 1, 15)))
     both = tables.deduplicate(first.unionByName(again))
     return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+@query(
+    "ingest_twice",
+    """SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n_events, count(DISTINCT event_id) AS n_ids
+FROM events GROUP BY 1""",
+)
+def ingest_twice(spark, sf):
+    """The table after a first pull, a second that overlaps it, and the second again."""
+    path = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = tables.event_rows(app_events(spark, sf))
+    first, again = rows.where(F.col("timestamp") < F.lit(datetime(2024, 1, 20))), rows.where(F.col("timestamp") >= F.lit(datetime(2024, 1, 15)))
+    for pull in (first, again, again):
+        snapshots.insert_new(pull, path, "canonical_events")
+    stored = tables.read_table(spark, path)
+    counts = [F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_id").alias("n_ids")]
+    return stored.groupBy(F.date_format("event_month", "yyyy-MM").alias("month")).agg(*counts)
