@@ -78,7 +78,8 @@ def ordered_funnel(
     """Time of each step per entity, every step after the one before.
 
     Step k is the entity's first event of its type later than step k-1, and no
-    later than ``within`` after step 1.  One join and one partial aggregation
+    later than ``within`` after step 1, which is its very first event of that
+    type; ``funnel_scan.windowed_funnel`` counts from any start.  One join and one partial aggregation
     per step; an entity's events are never gathered in one task.
     """
     reached = (

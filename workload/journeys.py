@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from wayline.operators import funnel, registry, rollups, trajectory as T
+from wayline.operators import funnel, funnel_scan, registry, rollups, trajectory as T
 from wayline.operators.trajectory import Filter
 from wayline.schema import extra_map, from_storage_nulls
 from wayline.session import shared_folder
@@ -140,6 +140,43 @@ def ordered_funnel_counts(spark, sf):
     return funnel.funnel_counts(reached, STEPS)
 
 
+ANY_START = ["view", "click", "view", "purchase"]
+ANY_START_SQL = f"""WITH {EV}, e AS (
+  SELECT entity_id, epoch_us("timestamp") AS t, unnest(CASE event_type WHEN 'view' THEN [1, 3] WHEN 'click' THEN [2] ELSE [4] END) AS k
+  FROM ev WHERE event_type IN ('view', 'click', 'purchase')),
+""" + "".join(
+    f"""s{k} AS (SELECT entity_id, t, k, {"CASE WHEN k = 1 THEN t END" if k == 1 else f"CASE WHEN k = {k} THEN before ELSE start END"} AS start
+  FROM {"e" if k == 1 else f"(SELECT *, max(CASE WHEN k = {k - 1} THEN start END) OVER (PARTITION BY entity_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT entity_id, t, k, start FROM s{k - 1}))"}),
+"""
+    for k in range(1, 5)
+) + f"""
+timely AS (SELECT entity_id, k, t, start FROM s4 WHERE t - start <= {48 * 3_600_000_000}),
+best AS (SELECT entity_id, max(k) AS depth FROM timely GROUP BY 1),
+found AS (SELECT entity_id, depth, min(t) AS t, max_by(start, -t) AS start FROM timely JOIN best USING (entity_id) WHERE k = depth GROUP BY 1, 2)"""
+
+
+@query(
+    "windowed_funnel",
+    ANY_START_SQL + " SELECT entity_id, depth::INT AS depth, make_timestamp(start) AS started_at, make_timestamp(t) AS reached_at FROM found",
+)
+def windowed_funnel(spark, sf):
+    return funnel_scan.windowed_funnel(app_events(spark, sf), ANY_START, timedelta(hours=48))
+
+
+@query(
+    "windowed_funnel_counts",
+    ANY_START_SQL
+    + """, c AS (SELECT k, (SELECT count(*) FROM found WHERE depth >= k) AS n FROM range(1, 5) r(k))
+SELECT k::INT AS step, ['view', 'click', 'view', 'purchase'][k] AS event_type, n AS n_entities,
+  round(n / (SELECT n FROM c WHERE k = 1), 6) AS rate_from_first,
+  round(n / nullif((SELECT n FROM c x WHERE x.k = greatest(c.k - 1, 1)), 0), 6) AS rate_from_previous
+FROM c""",
+)
+def windowed_funnel_counts(spark, sf):
+    found = funnel_scan.windowed_funnel(app_events(spark, sf), ANY_START, timedelta(hours=48))
+    return funnel_scan.depth_counts(found, ANY_START)
+
+
 RETENTION_SQL = f"""{EV},
 f AS (SELECT entity_id, date_trunc('week', min("timestamp"))::TIMESTAMP AS cohort_week FROM ev GROUP BY 1),
 w AS (SELECT DISTINCT entity_id, date_trunc('week', "timestamp")::TIMESTAMP AS week FROM ev WHERE event_type = 'purchase'),
