@@ -21,8 +21,9 @@ ones are, and a candidate found there is looked up in the long ones by binary se
 
 Defined results: a null or empty text, or one without words, has an empty set and links with
 nothing, not even another such; a text of fewer than k words is one gram, its whole sequence;
-rows of equal id are one document in links, each with its own set; a null id has a null
-component unless an equal set has an id; no rows give none. Only the
+rows of equal id and rows without one are documents each, linked by their own texts alone; a
+component's id is the smallest that any of its rows has, null if none has one; a text of any length
+is one set, some 15 times its bytes in a task; no rows give none. Only the
 named columns are read, so extra columns can't clash. Grams are compared as 64-bit codes.
 """
 
@@ -32,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.blocks import BLOCK_BYTES, in_blocks, in_order, pack
@@ -104,12 +105,19 @@ def _length_class(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 1, 0, np.minimum(255, 1 + 4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, block_bytes: int) -> DataFrame:
-    """doc_id, block, n (grams), a and b (codes of the whole set), short (grams of the short part that others have) and grams.
+def text_code(text: Column) -> Column:
+    """Tells texts apart; null is as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, block_bytes: int, coded: bool) -> DataFrame:
+    """doc_id, block, n (grams), a and b (codes of the whole set), short (grams of the short part that others have), grams and code of the text (if asked for).
 
     short and grams are null for sets without partners, and for repeats of a set in its block.
     """
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    code = text_code(text) if coded else F.lit(None).cast("binary")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), code.alias("code"))
     blocks, block_col, total = in_blocks(narrow, "doc_id", "text", block_bytes)
     census = Census(total // 5)
     sent = arrow_schema(kinds := "block int, part int, low binary, high binary, counts binary")
@@ -136,7 +144,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, bl
         return as_table({"block": group["block"], "part": group["part"], "lengths": [pack(x) for x in lengths]}, answered)
 
     answers = blocks.groupBy(block_col).applyInArrow(send, kinds).groupBy("part").applyInArrow(answer, answer_kinds)
-    out = arrow_schema(out_kinds := "doc_id long, block int, n long, a long, b long, short array<long>, grams binary")
+    out = arrow_schema(out_kinds := "doc_id long, block int, n long, a long, b long, short array<long>, grams binary, code binary")
 
     def order(block: pa.Table, found: pa.Table) -> pa.Table:
         if block.num_rows == 0:
@@ -152,16 +160,15 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, bl
         a = (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64).tolist()
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(grams ^ U64(0x5851F42D4C957F2D)))])
         b = (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64).tolist()
-        shorts, sets, seen, known = [], [], set(), block["doc_id"].is_valid().to_pylist()
+        shorts, sets, seen = [], [], set()
         for r, key in enumerate(zip(a, b)):
             own, lists = grams[bounds[r] : bounds[r + 1]], length[bounds[r] : bounds[r + 1]]
             ranked = np.argsort(lists, kind="stable")[: len(own) - least_overlap(len(own), pct) + 1]
-            part = own[ranked[lists[ranked] > 0]] if len(own) and known[r] and key not in seen else own[:0]
-            if known[r]:
-                seen.add(key)
+            part = own[ranked[lists[ranked] > 0]] if len(own) and key not in seen else own[:0]
+            seen.add(key)
             shorts.append(part.view(np.int64) if len(part) else None)
             sets.append(pack(own) if len(part) else None)
-        columns = {"doc_id": block["doc_id"], "block": block["block"], "n": np.diff(bounds), "a": a, "b": b, "short": shorts, "grams": sets}
+        columns = {"doc_id": block["doc_id"], "block": block["block"], "n": np.diff(bounds), "a": a, "b": b, "short": shorts, "grams": sets, "code": block["code"]}
         return as_table(columns, out)
 
     return blocks.groupBy(block_col).cogroup(answers.groupBy("block")).applyInArrow(order, out_kinds)
@@ -264,32 +271,36 @@ def _tasks(groups: DataFrame, task_grams: int) -> DataFrame:
     return small.unionByName(large.select("doc_id", "a", "b", "copies", task.alias("task"), "chunk", "other"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, pct: int = 80, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS) -> DataFrame:
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, pct: int = 80, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS, coded: bool = False
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set),
-    component_id (smallest id reachable by links) and n_links (documents it links with)."""
-    found = materialize(_documents(docs, id_col, text_col, k, pct, block_bytes), "gram-sets")
-    narrow = found.select("doc_id", "n", "a", "b")
+    component_id (smallest id reachable by links) and n_links (documents it links with).
+
+    `coded` adds text_code and component: a number that the linked rows share whatever their ids
+    are, null for empty sets.
+    """
+    found = materialize(_documents(docs, id_col, text_col, k, pct, block_bytes, coded), "gram-sets")
+    narrow = found.select("doc_id", "n", "a", "b", "code")
     classes = narrow.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "gram-classes")
-    # a class is searched for once, by the row of its smallest id (and its first block) that carries the set
-    heads = found.where("short is not null").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "block")).alias("first"))
-    heads = heads.select("a", "b", "n", "first.doc_id", "first.block")
+    # a class has a number of its own, as ids may be null or stand for several texts
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "gram-classes")
+    # a class is searched for once, by the first block that carries its set, once in a block
+    heads = found.where("short is not null").groupBy("a", "b", "n").agg(F.min("block").alias("block"))
     heads = materialize(heads.join(classes, ["a", "b", "n"]), "gram-heads")
-    posts = found.where("short is not null").select("doc_id", "block", "a", "b", F.explode("short").alias("gram"))
-    posts = materialize(posts.join(heads.select("doc_id", "block", "a", "b", "class_id"), ["doc_id", "block", "a", "b"]).select("class_id", "gram").distinct(), "gram-posts")
-    first = posts.groupBy("gram").agg(F.min("class_id").alias("b"))
-    reach = components(posts.join(first, "gram").select(F.col("class_id").alias("a"), "b"))
-    groups = heads.join(reach, heads["class_id"] == reach["node"]).select("doc_id", "a", "b", "n", "copies", "component")
-    tasks = _tasks(materialize(groups, "gram-groups"), task_grams).join(heads.select("a", "b", "block", "class_id"), ["a", "b"])
-    sets = found.where("grams is not null").select("doc_id", "block", "a", "b", "grams")
-    sets = sets.join(tasks, ["doc_id", "block", "a", "b"]).select("class_id", "a", "b", "copies", "task", "chunk", "other", "grams")
+    posts = found.where("short is not null").select("block", "a", "b", F.explode("short").alias("gram"))
+    posts = materialize(posts.join(heads.select("block", "a", "b", "class"), ["block", "a", "b"]).select("class", "gram").distinct(), "gram-posts")
+    first = posts.groupBy("gram").agg(F.min("class").alias("b"))
+    reach = components(posts.join(first, "gram").select(F.col("class").alias("a"), "b"))
+    groups = heads.join(reach, heads["class"] == reach["node"]).select(F.col("class").alias("doc_id"), "a", "b", "n", "copies", "component")
+    tasks = _tasks(materialize(groups, "gram-groups"), task_grams).join(heads.select("a", "b", "block"), ["a", "b"])
+    sets = found.where("grams is not null").select("block", "a", "b", "grams")
+    sets = sets.join(tasks, ["block", "a", "b"]).select(F.col("doc_id").alias("class"), "a", "b", "copies", "task", "chunk", "other", "grams")
     out = arrow_schema(kinds := "a long, b long, links long")
 
     def run(task: pa.Table) -> pa.Table:
         rows = task.combine_chunks()
-        keys = np.stack([rows[c].to_numpy() for c in ("a", "b")])
-        rows = rows.take(np.sort(np.unique(keys, axis=1, return_index=True)[1]))  # rows of equal id and text
-        ids, copies, chunk, other = (rows[c].to_numpy() for c in ("class_id", "copies", "chunk", "other"))
+        ids, copies, chunk, other = (rows[c].to_numpy() for c in ("class", "copies", "chunk", "other"))
         links, counts = search_task(ids, copies, chunk, [np.frombuffer(x.as_buffer(), "<u8") for x in rows["grams"]], pct, bool(chunk[0] != other[0]))
         some = np.flatnonzero(counts)
         a = np.concatenate([np.array([x for x, _ in links], np.int64), ids[some]])
@@ -297,14 +308,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         return as_table({"a": a, "b": b, "links": np.concatenate([np.zeros(len(links), np.int64), counts[some]])}, out)
 
     links = materialize(sets.groupBy("task").applyInArrow(run, kinds), "links")
-    label = components(links.where("a <> b").select("a", "b"))
-    counts = links.where("a = b").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
-    rows = narrow.join(classes.drop("n"), ["a", "b"], "left").join(counts, "class_id", "left")
-    rows = rows.join(label, rows["class_id"] == label["node"], "left")
-    return rows.select(
+    label = materialize(components(links.where("a <> b").select("a", "b")), "gram-labels")
+    counts = links.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    least = label.join(classes, label["node"] == classes["class"]).groupBy("component").agg(F.min("class_id").alias("least"))
+    label = label.join(least, "component").select(F.col("node").alias("class"), "component", "least")
+    classes = classes.drop("n").join(counts, "class", "left").join(label, "class", "left")
+    rows = narrow.join(classes, ["a", "b"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component", "class_id", "doc_id").alias("component_id"),
+        F.coalesce("least", "class_id", "doc_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
+        F.col("code").alias("text_code"),
+        F.coalesce("component", "class").alias("component"),
     )
+    return rows if coded else rows.drop("text_code", "component")
