@@ -7,8 +7,9 @@
     packing          token pieces in sequences of 1024
 
 Every stage takes all rows its predecessor kept and, but for the last, returns the columns of
-documents. Repeated rows of one id are near duplicates of each other: one stays. Rows without
-an id pass the second stage. A text that loses words is its kept words joined by one space.
+documents. Near duplicates are judged by their texts alone, whatever the ids: rows of one id
+with different texts both stay, rows without an id are compared like others, and of equal rows
+one stays. A text that loses words is its kept words joined by one space.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.llm import jaccard, mixing, packing, quality_rules, repeats
 from wayline.llm.queries import MIX
@@ -33,16 +35,33 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of similar texts connect, the document of the smallest id."""
-    found = jaccard.join(docs)
-    lost = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("lost_id")).distinct(), "lost")
-    # rows without an id all stay: apart, as they would meet in one task
-    none, docs = docs.where(F.col("doc_id").isNull()), docs.where(F.col("doc_id").isNotNull())
-    kept = docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
-    again = fresh(docs, "again")
-    # rows are already together by id
-    kept = kept.withColumn(again, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return kept.where(F.col(again) == 1).select(*[kept[f"`{c}`"] for c in docs.columns]).unionByName(none)
+    """Of each group that links of similar texts connect, the row of the smallest id (and text code).
+
+    Rows without words link with nothing and stay.
+    """
+    found = materialize(jaccard.join(docs, coded=True).where("component is not null").select("component", "doc_id", "text_code"), "groups")
+    # one row per (id, text): what repeats them in full is told apart at the end
+    rows = found.groupBy("component", "doc_id", "text_code").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_code")
+    stays = rows.groupBy(F.col("component").alias("group")).agg(F.count(F.lit(1)).alias("texts"), F.min(order).alias("stays"))
+    rows = rows.join(stays, rows["component"] == stays["group"]).where("texts > 1 OR n > 1")
+    rows = materialize(rows.select("doc_id", "text_code", (order == F.col("stays")).alias("stays")), "judged")
+
+    code = fresh(docs, "text_code")
+    coded = docs.withColumn(code, jaccard.text_code(docs["text"]))
+
+    def those(side: DataFrame, how: str) -> DataFrame:
+        same = coded["doc_id"].cast("long").eqNullSafe(side["doc_id"]) & (coded[code] == side["text_code"])
+        return coded.join(side, same, how)
+
+    single = those(rows, "left_anti").drop(code)
+    # the rows that stay for their group, once each: Spark keeps the first of each task before the shuffle
+    again = fresh(coded, "again")
+    kinds = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, kinds)]
+    first = F.row_number().over(Window.partitionBy("doc_id", code).orderBy(*plain))
+    kept = those(rows.where("stays"), "left_semi").withColumn(again, first).where(F.col(again) == 1)
+    return single.unionByName(kept.drop(code, again))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
