@@ -135,9 +135,48 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def test_repeated_and_null_ids_in_a_scan(spark):
-    docs = spark.createDataFrame([(1, "Licensed under CC BY 4.0.")] * 2 + [(None, "Licensed under CC BY 4.0."), (1, "none")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["labels"]) for r in licenses.scan(docs).collect()) == [(0, "cc-by"), (1, "cc-by"), (1, "cc-by"), (1, "cc-by")]
+def test_labels_stay_with_their_rows(spark):
+    words = licenses.TEMPLATES["bsd"][0].split()
+    halves = [(None, " ".join(words[: len(words) // 2])), (None, " ".join(words[len(words) // 2 :]))]
+    rows = [(1, "Licensed under CC BY 4.0.")] * 2 + [(None, "Licensed under CC BY 4.0."), (1, "none"), (None, None), *halves]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"], r["score"]) for r in got) == [(0, "", 0.0)] * 3 + [(0, "cc-by", 1.0), (1, "", 0.0)] + [(1, "cc-by", 1.0)] * 2
+
+
+def brute_labels(text):
+    """Labels of templates by all pairs of equal 3-grams, diagonals joined where they differ by SLACK at most."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    own, found = words(text), set()
+    for label, templates in licenses.TEMPLATES.items():
+        for template in map(words, templates):
+            hits = sorted((p - t, t) for p in range(len(own) - 2) for t in range(len(template) - 2) if own[p : p + 3] == template[t : t + 3])
+            spans, last = [], None
+            for d, t in hits:
+                if last is None or d - last > licenses.SLACK:
+                    spans.append(set())
+                spans[-1] |= {t, t + 1, t + 2}
+                last = d
+            if any(len(s) / len(template) >= licenses.COVERED for s in spans):
+                found.add(label)
+    return found
+
+
+def test_labels_equal_all_pairs(spark):
+    r = np.random.default_rng(4)
+    parts = [t.split() for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = []
+    for _ in range(120):
+        words = []
+        for i in r.integers(0, len(parts), r.integers(0, 5)):
+            part = list(parts[i])
+            for _ in range(r.integers(0, 4)):  # words lost, put in or changed
+                at = r.integers(0, len(part))
+                part[at : at + r.integers(0, 2)] = ["odd"] * int(r.integers(0, 2))
+            words += part + ["and"] * int(r.integers(0, 3))
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((x["doc_id"], x["labels"]) for x in licenses.scan(docs, phrases={}).collect())
+    assert got == sorted((i % 7, ",".join(sorted(brute_labels(t)))) for i, t in enumerate(texts))
 
 
 @pytest.mark.parametrize("shift", [0, 1, 5])
