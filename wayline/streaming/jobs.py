@@ -72,18 +72,25 @@ def match_stream(
 
 
 def run_available(
-    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", state_partitions: int | None = None
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    mode: str = "append",
+    state_partitions: int | None = None,
+    state_store: str | None = None,
 ) -> DataFrame:
     """Process what has arrived into Parquet files and return them as a table.
 
     ``state_partitions`` is the number of partitions the state keeps; a stream
     fixes it at its first start, and restarts with the same checkpoint keep it.
+    ``state_store`` is the class that keeps it, if not the session's.
     """
     spark = stream.sparkSession
-    setting = "spark.sql.shuffle.partitions"
-    session_value = spark.conf.get(setting)
-    if state_partitions is not None:
-        spark.conf.set(setting, str(state_partitions))
+    wanted = {"spark.sql.shuffle.partitions": state_partitions, "spark.sql.streaming.stateStore.providerClass": state_store}
+    wanted = {setting: str(value) for setting, value in wanted.items() if value is not None}
+    session_values = {setting: spark.conf.get(setting) for setting in wanted}
+    for setting, value in wanted.items():
+        spark.conf.set(setting, value)
     try:
         query = (
             stream.writeStream.format("parquet")
@@ -94,6 +101,7 @@ def run_available(
             .start()
         )
     finally:
-        spark.conf.set(setting, session_value)  # a started stream has its own copy
+        for setting, value in session_values.items():  # a started stream has its own copy
+            spark.conf.set(setting, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -13,6 +13,7 @@ from wayline.plans import scoring as S
 from wayline.schema import CANONICAL_EVENTS, ENTITY_RELATIONSHIPS, conform
 from wayline.session import shared_folder
 from wayline.streaming import jobs
+from wayline.streaming.continuous_links import STATE_STORE, match_continuous
 from workload.registry import query
 from workload.standins import INS_SQL, OUTS_SQL, lineitem_ins, load, order_outs
 
@@ -298,3 +299,33 @@ def stream_links(spark, sf):
     )
     links = _run(spark, jobs.match_stream(outs, ins, max_delay=timedelta(days=8000)), "links")
     return links.where(F.col("dst_event_id").isNotNull()).select("link_key", "src_event_id")
+
+
+@query(
+    "stream_links_last_out",
+    """WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderdate::TIMESTAMP AS t FROM orders),
+x AS (SELECT CAST(k AS VARCHAR) AS link_key, max_by(id, (t, 'o:' || id)) AS out_id, max(t) AS t FROM o GROUP BY k),
+i AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS link_key FROM customer)
+SELECT link_key, 'o:' || out_id AS src_event_id, 'c:' || link_key AS dst_event_id FROM x JOIN i USING (link_key)""",
+)
+def stream_links_last_out(spark, sf):
+    """All orders of a customer are outs of one key; the customer's last row, after them, is the in."""
+    outs = _stream(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("link_key"), F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.concat(F.lit("c:"), "o_custkey").alias("entity_id"), F.concat(F.lit("o:"), "o_orderkey").alias("event_id"),
+    )
+    customers = _stream(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("link_key"), "c_custkey")
+    ins = customers.select(
+        "link_key", F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
+        F.lit("s").alias("entity_id"), F.concat(F.lit("c:"), "c_custkey").alias("event_id"),
+    )
+    # a row far behind all others moves the watermark past them
+    end = customers.where("c_custkey = 1").select(
+        F.lit("end").alias("link_key"), F.lit("2099-01-01").cast("timestamp").alias("timestamp"),
+        F.lit("s").alias("entity_id"), F.lit("end").alias("event_id"),
+    )
+    base = f"{shared_folder(spark)}/last-out-{uuid.uuid4().hex}"
+    found = match_continuous(outs.unionByName(end), ins, max_delay=timedelta(days=12_000))
+    partitions = spark.sparkContext.defaultParallelism
+    links = jobs.run_available(found, f"{base}/rows", f"{base}/checkpoint", state_partitions=partitions, state_store=STATE_STORE)
+    return links.where(F.col("dst_event_id").isNotNull()).select("link_key", "src_event_id", "dst_event_id")
