@@ -50,6 +50,28 @@ def test_rules_of_an_empty_table(spark):
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).count() == 0
 
 
+def test_prior_is_recovered():
+    r = np.random.default_rng(6)
+    for mean, strength in ((0.2, 4.0), (0.5, 20.0), (0.1, 1.0)):
+        n = np.concatenate([np.ones(20_000, int), r.integers(2, 60, 30_000), [200_000]])
+        p = r.beta(mean * strength, (1 - mean) * strength, len(n))
+        p[-1] = mean  # one host has a third of all rows
+        x = r.binomial(n, p)
+        m, s = quality_rules.prior(len(n), n.sum(), x.sum(), (n.astype(float) ** 2).sum(), (x.astype(float) ** 2 / n).sum())
+        assert abs(m - mean) < 0.1 * mean and abs(s - strength) < 0.1 * strength
+
+
+def test_hosts_of_one_document_or_alike_get_the_common_rate():
+    r = np.random.default_rng(7)
+    x = r.integers(0, 2, 400)
+    assert quality_rules.prior(400, 400, x.sum(), 400, x.sum()) == (x.mean(), quality_rules.STRONGEST)
+    n = np.full(300, 50)
+    x = r.binomial(n, 0.3)
+    _, s = quality_rules.prior(300, n.sum(), x.sum(), (n**2).sum(), (x**2 / n).sum())
+    assert s > 300
+    assert quality_rules.prior(0, 0, 0, 0, 0) == (0.0, quality_rules.STRONGEST) and quality_rules.prior(2, 9, 0, 41, 0)[1] == quality_rules.STRONGEST
+
+
 def leaves(spark, tokens):
     rows = [(*path.split("/"), n) for path, n in tokens.items()]
     return spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
@@ -66,6 +88,20 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
     assert got == {"d0/a": 10, "d1/b": 495}
 
 
+def test_a_weight_of_nothing_leaves_a_node_out(spark):
+    tokens = {"d0/en/a": 100, "d0/en/b": 100, "d0/fr/c": 100, "d1/en/d": 100, "d2/en/e": 100}
+    mix = mixing.Mix(weights={"d1": 0, "d0/fr": 0, "d0/en/b": 0, "d2": 3}, budget_pct=40, max_epochs=2)
+    got = {f"{r['domain']}/{r['lang']}/{r['source']}": r["budget"] for r in mixing.budgets(leaves(spark, tokens), mix).collect()}
+    assert got == {"d0/en/a": 50, "d0/en/b": 0, "d0/fr/c": 0, "d1/en/d": 0, "d2/en/e": 150}
+    none = {r["budget"] for r in mixing.budgets(leaves(spark, tokens), mixing.Mix(weights={"*": 0})).collect()}
+    assert none == {0}
+    docs = spark.createDataFrame([(1, "a b", "en", "src1"), (2, "c", "en", "src2")], "doc_id long, text string, lang string, source string")
+    assert [r["doc_id"] for r in mixing.mix_documents(docs, mixing.Mix(weights={"d1": 0}, budget_pct=50)).collect()] == [2]
+    for odd in (0.5, -1):
+        with pytest.raises(ValueError):
+            mixing.Mix(weights={"d0": odd})
+
+
 def test_a_leaf_gives_whole_epochs_and_a_prefix(spark):
     rows = [(i, "w " * (i % 7), "en" if i % 3 else None, f"src{i % 4}" if i % 5 else None) for i in range(400)] + [(7, "w w", "en", "src1")] * 3 + [(500, None, "en", "src1")]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, epochs int, row string")

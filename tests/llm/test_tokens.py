@@ -67,6 +67,18 @@ def test_files_hold_every_document_in_order(spark):
     assert files.count() > 5
 
 
+def test_packing_of_other_ids_and_repeated_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(f"id{i % 9}", "same words here") for i in range(90)] + [(None, "a"), (None, None), ("x", "b")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    pieces = packing.pack(docs, path, how=packing.Packing(capacity=16), group_docs=10).collect()
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
+    assert {p["doc_id"] for p in pieces} == {r[0] for r in rows}
+    # equal rows are dealt to several groups
+    one = spark.createDataFrame([(1, "same")] * 200, "doc_id long, text string").repartition(4)
+    assert len({p["sequence_id"] // packing.GROUP_IDS for p in packing.pack(one, path, group_docs=20).collect()}) > 5
+
+
 def test_packing_holds_every_id_once(spark):
     rows, docs = documents(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")

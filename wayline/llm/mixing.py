@@ -8,13 +8,15 @@ all that its subtree can take, a shortage leaves the subtree only when no siblin
 siblings come before ancestors.
 
 A leaf's share is whole epochs of all its documents, and a prefix of one more epoch: its
-documents in the order of a seeded hash, as many tokens as are left. The prefix is found in two
-steps: token sums per leaf and hash bucket, then a running sum within the one bucket that the
-prefix ends in. So no task holds a whole leaf, however hot. Integers throughout; a level may
+documents in the order of a seeded hash, as many tokens as are left. The prefix is found digit
+by digit: token sums of 256 buckets a leaf name the one that the prefix ends in, whose own 256
+buckets are summed next. After three rounds a bucket is a 16-millionth of its leaf, and a running
+sum within it finds the end. So no task holds a whole leaf, however hot. Integers throughout; a level may
 leave fewer tokens than it has nodes to rounding. DataFrame functions only.
 
 Defined results: null tree columns are the node ''; a null or empty text has 0 tokens and
-comes with each whole epoch; nodes without a weight have weight 1; rows of equal id follow by
+comes with each whole epoch; nodes without a weight have weight 1, a weight of 0 leaves a node and
+all below it out; a text of any length is counted in one row, by the engine; rows of equal id follow by
 their tokens; repeated rows are taken each; no rows give none. Extra columns are kept by
 `mix_documents` and not read by `select_documents`; they are held in one struct, so names can't clash.
 """
@@ -30,8 +32,9 @@ from wayline.session import materialize
 
 TREE = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of a leaf: the first 3 hexadecimal digits of the hash.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits of the hash in a round, and rounds.
+DIGITS, ROUNDS = 2, 3
+BUCKET_DIGITS = DIGITS * ROUNDS
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,10 @@ class Mix:
     max_epochs: int = 4
     seed: int = 17
 
+    def __post_init__(self) -> None:
+        if any(w != int(w) or w < 0 for w in self.weights.values()):
+            raise ValueError("weights are whole numbers from 0")
+
 
 def domain_of(source: Column) -> Column:
     """The given tables name no domain: sources are dealt to four by their number."""
@@ -89,13 +96,17 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """domain, lang, source, tokens, budget of each leaf, from leaves with their tokens."""
-    leaves = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
+    weights = [_weight(mix, depth) for depth in range(1, len(TREE) + 1)]
+    wanted = F.least(*weights) > 0
+    leaves = leaves.withColumn("capacity", F.when(wanted, F.col("tokens") * mix.max_epochs).otherwise(0))
     tokens, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("capacity"), F.lit(0))).first()
     above = F.lit(min(tokens * mix.budget_pct // 100, most)).cast("long")
     level = None
     for depth in range(1, len(TREE) + 1):
         path, parent = list(TREE[:depth]), list(TREE[: depth - 1])
-        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(mix, depth))
+        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"))
+        # a node of weight 0 has nothing to take, whatever its weight counts as
+        nodes = nodes.withColumn("weight", F.greatest(weights[depth - 1], F.lit(1)))
         nodes = nodes.withColumn("above", above) if level is None else nodes.join(level, parent)
         level = _share(nodes, parent or [F.lit(0)], TREE[depth - 1]).select(*path, F.col("budget").alias("above"))
     return leaves.join(level, list(TREE)).select(*TREE, "tokens", F.col("above").alias("budget"))
@@ -121,12 +132,17 @@ def leaf_plan(docs: DataFrame, mix: Mix, doc_id: str, text: str, lang: str, sour
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)
     shares = shares.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
     shares = materialize(shares, "mix-budgets")
-    bucket = F.substring(_hash(mix, F.col("epochs"), F.col("doc_id")), 1, BUCKET_DIGITS)
-    sums = narrow.join(shares.where("rest > 0"), list(TREE)).groupBy(*TREE, "rest", bucket.alias("cut")).agg(F.sum("n_tokens").alias("in_cut"))
-    running = Window.partitionBy(*TREE).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("cut_start", F.coalesce(F.sum("in_cut").over(running), F.lit(0)))
-    cuts = sums.where("cut_start < rest and rest <= cut_start + in_cut").select(*TREE, "cut", "cut_start")
-    return narrow, materialize(shares.join(cuts, list(TREE), "left"), "mix-leaves")
+    h = _hash(mix, F.col("epochs"), F.col("doc_id"))
+    cuts = shares.where("rest > 0").select(*TREE, "epochs", "rest", F.lit("").alias("cut"), F.lit(0).cast("long").alias("cut_start"))
+    for i in range(ROUNDS):
+        held = narrow.join(cuts, list(TREE)).where(F.substring(h, 1, DIGITS * i) == F.col("cut"))
+        digits = F.substring(h, DIGITS * i + 1, DIGITS)
+        sums = held.groupBy(*TREE, "epochs", "rest", "cut", "cut_start", digits.alias("digits")).agg(F.sum("n_tokens").alias("in_cut"))
+        running = Window.partitionBy(*TREE).orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("start", F.col("cut_start") + F.coalesce(F.sum("in_cut").over(running), F.lit(0)))
+        ends = sums.where("start < rest and rest <= start + in_cut")
+        cuts = materialize(ends.select(*TREE, "epochs", "rest", F.concat("cut", "digits").alias("cut"), F.col("start").alias("cut_start")), "mix-cuts")
+    return narrow, materialize(shares.join(cuts.drop("epochs", "rest"), list(TREE), "left"), "mix-leaves")
 
 
 def select_documents(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -9,8 +9,9 @@ at the end some rests fit nowhere whole: these are cut to fill what is left, lar
 first. Less than one capacity stays free in a group, whatever the lengths are.
 
 Defined results: a null text is empty, a document of one end id; ids are those of whole texts;
-equal lengths go by id, then by text code; rows of equal id or repeated rows are packed each;
-a null id is packed like others; no rows give none. Only the named columns are read, so extra
+equal lengths go by id, then by text code; rows of equal id or repeated rows are packed each, and
+dealt to groups by their place in the input, so they never fill one; ids of any type that sorts,
+a null id is packed like others; a text of any length is encoded whole, in one task; no rows give none. Only the named columns are read, so extra
 columns can't clash.
 """
 
@@ -93,8 +94,9 @@ def assign(lengths: list[int], how: Packing) -> list[tuple[int, int, int, int, i
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, how: Packing, groups: int) -> DataFrame:
     """A row per document: its group, full (crc32 of each whole capacity) and rest (ids of what is left)."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    narrow = narrow.withColumn("code", F.xxhash64("doc_id", "text"))
-    kinds = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, code long, n long, full array<long>, rest binary"
+    place = F.monotonically_increasing_id()
+    narrow = narrow.withColumns({"code": F.xxhash64("doc_id", "text"), "deal": F.xxhash64("doc_id", "text", place)})
+    kinds = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, code long, deal long, n long, full array<long>, rest binary"
     out = arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +110,11 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, how:
                 sizes.append(len(ids))
                 full.append([crc32(ids[i : i + how.capacity]) for i in range(0, whole, how.capacity)])
                 rest.append(ids[whole:].tobytes())
-            columns = {"doc_id": batch.column(0), "code": batch.column(2), "n": sizes, "full": full, "rest": rest}
+            columns = {"doc_id": batch.column(0), "code": batch.column(2), "deal": batch.column(3), "n": sizes, "full": full, "rest": rest}
             yield from as_table(columns, out).to_batches()
 
     rows = narrow.mapInArrow(run, kinds)
-    return rows.withColumn("pack_group", F.pmod("code", F.lit(groups)))
+    return rows.withColumn("pack_group", F.pmod("deal", F.lit(groups))).drop("deal")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", how: Packing = Packing(), group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -129,10 +131,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        n, code = group["n"].to_numpy(), group["code"].to_numpy()
+        n = group["n"].to_numpy()
         rest = n % capacity
-        key = pc.fill_null(group["doc_id"], -1).to_numpy()
-        order = np.lexsort((code, key, -rest))
+        by = [("id", "ascending"), ("code", "ascending")]
+        keys = pa.table({"rest": rest, "id": group["doc_id"], "code": group["code"]})
+        order = pc.sort_indices(keys, [("rest", "descending"), *by], null_placement="at_start").to_numpy()
         order = order[rest[order] > 0]
         rows = []
         for item, start, length, sequence, offset in assign(rest[order].tolist(), how):
@@ -141,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             ids = np.frombuffer(data, f"<u{len(data) // int(rest[d])}")[start : start + length]
             rows.append((d, int(n[d] - rest[d]) + start, length, crc32(ids), sequence, offset))
         sequence = -(-int(rest.sum()) // capacity)
-        for d in np.lexsort((code, key)).tolist():
+        for d in pc.sort_indices(keys, by, null_placement="at_start").to_pylist():
             for i, crc in enumerate(group["full"][d].as_py()):
                 rows.append((d, i * capacity, capacity, crc, sequence, 0))
                 sequence += 1

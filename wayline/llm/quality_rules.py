@@ -3,7 +3,15 @@
 Every document is measured in one pass over its whole text. Its base rules decide alone. The
 softer rules only count against a document whose host fails them in most of its documents:
 the failure rate of a host is shrunk towards the rate of all hosts by a beta prior fitted to
-them (method of moments), so that a host of few documents is not judged by them alone.
+them, so that a host of few documents is not judged by them alone. The fit is by moments of the
+beta-binomial: hosts weigh as their documents, and what their rates would differ by chance alone
+is taken off what they do differ by. Hosts that differ no more than by chance, or of one document
+each, say nothing of how hosts differ: all then get the common rate. A prior counts as one document
+at least. The host is the column `source`
+unless another is named.
+
+A text of any length is measured whole: texts share a run of 1 MB, a longer one is a run of its
+own and takes some 40 times its bytes in the task.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a
 host of its own; repeated rows count as often as they occur; no rows give no rows. Only the
@@ -107,20 +115,36 @@ def soft_failed(rules: Rules, c: dict[str, Column]) -> Column:
     )
 
 
+#: Strength of a prior, in documents, that counts as hosts all alike.
+STRONGEST = 1e6
+
+
+def prior(hosts: int, docs: float, failed: float, docs_squared: float, failed_squared_by_docs: float) -> tuple[float, float]:
+    """Mean and strength (in documents) of the beta prior, from sums over hosts: of n, x, n * n and x * x / n."""
+    if docs == 0:
+        return 0.0, STRONGEST
+    mean = failed / docs
+    chance, spread = mean * (1 - mean), failed_squared_by_docs - failed * failed / docs
+    # expected spread: chance * (hosts - 1 + correlation * room), correlation = 1 / (1 + strength)
+    room = docs - docs_squared / docs - (hosts - 1)
+    if chance <= 0 or room <= 1e-9 * docs:
+        return mean, STRONGEST
+    correlation = (spread / chance - (hosts - 1)) / room
+    return mean, min(max(1 / correlation - 1, 1.0), STRONGEST) if correlation > 0 else STRONGEST
+
+
 def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     """host, host_docs, host_failed, host_rate, host_rejected; one row per host, null host included.
 
-    The totals are written; two numbers of the prior reach the driver.
+    The totals are written; five sums for the prior reach the driver.
     """
     c = {m: F.col(m) for m in MEASURES}
     failed = base_failed(rules, c) | soft_failed(rules, c)
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(failed.cast("long")).alias("host_failed"))
     hosts = materialize(hosts, "hosts")
-    raw = F.col("host_failed") / F.col("host_docs")
-    mean, variance = hosts.agg(F.avg(raw), F.coalesce(F.var_samp(raw), F.lit(0.0))).first()
-    mean, variance = mean or 0.0, variance or 0.0
-    # strength of the prior in documents; equal hosts give the bound
-    strength = min(max(mean * (1 - mean) / variance - 1 if variance > 0 else 1e6, 1.0), 1e6)
+    x, n = F.col("host_failed").cast("double"), F.col("host_docs").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(x), F.sum(n * n), F.sum(x * x / n)).first()
+    mean, strength = prior(*[v or 0 for v in sums])
     rate = (F.col("host_failed") + mean * strength) / (F.col("host_docs") + strength)
     return hosts.withColumn("host_rate", rate).withColumn("host_rejected", rate >= rules.host_rate)
 

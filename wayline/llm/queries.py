@@ -119,8 +119,12 @@ f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     100 * n_symbols > 10 * word_chars OR 100 * n_repeat_words > 30 * n_words OR n_dup_lines > 2 AS soft_failed FROM m),
 h AS (SELECT host, count(*) AS n, sum((base_failed OR soft_failed)::INT) AS bad FROM f GROUP BY host),
-p AS (SELECT avg(bad / n) AS m, coalesce(var_samp(bad / n), 0) AS v FROM h),
-q AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END, 1), 1e6) AS s FROM p),
+p AS (
+  SELECT count(*) AS k, sum(n)::DOUBLE AS docs, sum(bad)::DOUBLE / sum(n) AS m, sum(n::DOUBLE * n) / sum(n) AS nn,
+    sum(bad::DOUBLE * bad / n) - sum(bad)::DOUBLE * sum(bad) / sum(n) AS spread FROM h),
+c AS (SELECT *, m * (1 - m) AS chance, docs - nn - (k - 1) AS room FROM p),
+o AS (SELECT *, CASE WHEN chance > 0 AND room > 1e-9 * docs THEN (spread / chance - (k - 1)) / room ELSE 0 END AS correlation FROM c),
+q AS (SELECT m, CASE WHEN correlation > 0 THEN least(greatest(1 / correlation - 1, 1), 1e6) ELSE 1e6 END AS s FROM o),
 r AS (SELECT host, (bad + m * s) / (n + s) >= 0.5 AS host_rejected FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (host_rejected AND soft_failed) AS kept, soft_failed, host_rejected
