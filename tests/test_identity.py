@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from wayline.operators import identity as G
 
 EDGE = (
@@ -104,3 +107,46 @@ def test_batch_takes_the_first_resolver(spark):
     assert rows == [("0xabc", "v.eth", '{"avatar":"u"}')] * 2 + [("0xdef", "s.eth", "")]
     table = G.relationship_rows(G.resolve_wallets(wallets, [one, two])).collect()
     assert len(table) == 3 and all(r.expires_at is None and r.detected_at is not None for r in table)
+
+
+def random_graph(spark, seed, n_edges=160):
+    r = random.Random(seed)
+    kinds = ["wallet", "device", "user", "hub"]
+    node = lambda: (k := r.choice(kinds), f"{k[0]}{r.randint(0, 2 if k == 'hub' else 9)}")
+    rows = []
+    for i in range(n_edges):
+        a, b = node(), node()
+        rows.append((*a, *b, "linked", r.choice([0.3, 0.6, 0.7, 0.84, 0.9, 1.0]), i))
+    names = "from_entity_type string, from_entity string, to_entity_type string, to_entity string, relationship_type string, confidence_score double, edge_ord int"
+    edges = spark.createDataFrame(rows, names)
+    roots = spark.createDataFrame([("user", f"u{i}") for i in range(10)] + [("device", f"d{i}") for i in range(10)], "entity_type string, entity_id string")
+    return roots, edges
+
+
+@pytest.mark.parametrize("seed,depth,least", [(1, 3, 0.5), (2, 3, 0.2), (3, 4, 0.3), (4, 2, 0.6), (5, 1, 0.5)])
+def test_best_wallets_are_those_of_the_whole_search(spark, seed, depth, least):
+    roots, edges = random_graph(spark, seed)
+    whole = G.resolve(roots, edges, target_type="wallet", min_confidence=least, max_depth=depth)
+    order = F.struct((-F.col("confidence")).alias("c"), "depth", "walk_order", "entity_id")
+    want = whole.groupBy("root_type", "root_id").agg(F.min(order).alias("b")).select("root_type", "root_id", "b.entity_id")
+    got = G.wallets_of(roots, edges, min_confidence=least, max_depth=depth)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_dead_ends_are_not_carried(spark, monkeypatch):
+    """A hub of many devices without a wallet costs no row a root; one wallet behind it is found."""
+    rows = [("user", f"u{i}", "hub", "h", "linked", 0.9, 0) for i in range(20)] + [("hub", "h", "device", f"d{i}", "linked", 0.9, i) for i in range(50)]
+    rows += [("device", "d7", "wallet", "w", "linked", 0.9, 0)]
+    names = "from_entity_type string, from_entity string, to_entity_type string, to_entity string, relationship_type string, confidence_score double, edge_ord int"
+    written, materialize = {}, G.materialize
+
+    def counted(df, label):
+        out = materialize(df, label)
+        written.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "materialize", counted)
+    roots = spark.createDataFrame([("user", f"u{i}") for i in range(20)], "entity_type string, entity_id string")
+    got = G.wallets_of(roots, spark.createDataFrame(rows, names))
+    assert sorted(r["wallet"] for r in got.collect()) == ["w"] * 20
+    assert written["reached"] == [40, 60]  # roots, the hub for each, and the one device that leads on

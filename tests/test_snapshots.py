@@ -129,12 +129,15 @@ def test_moved_rows_are_found_anywhere(spark, tmp_path):
 def test_a_range_lists_only_its_folders(spark, tmp_path):
     path = str(tmp_path / "t")
     snapshots.insert_new(batch(spark, range(9)), path, TABLE)
-    found = snapshots.read(spark, path, low=at("2024-02-01"), high=at("2024-02-20"))
+    found = snapshots.read(spark, path, timestamp=(at("2024-02-01"), at("2024-02-20")))
     assert found.count() == 3 and {f.split("event_month=")[1][:10] for f in found.inputFiles()} == {"2024-02-01"}
-    assert snapshots.read(spark, path, low=at("2025-02-01")).collect() == []
+    assert snapshots.read(spark, path, timestamp=(at("2025-02-01"), None)).collect() == []
     logs = f"{tmp_path}/l"
     snapshots.insert_new(tables.log_rows(C.normalise_logs(landed(spark, range(3)))), logs, "canonical_logs")
-    assert snapshots.read(spark, logs, low=1, high=1).count() == 3 and snapshots.read(spark, logs, low=2).count() == 0
+    assert snapshots.read(spark, logs, block_number=(1, 1)).count() == 3 and snapshots.read(spark, logs, block_number=(2, None)).count() == 0
+    # logs lie in months of their arrival; the manifest knows their block times too
+    times = snapshots.read(spark, logs, block_time=(at("2024-01-01"), at("2024-01-02")))
+    assert times.count() == 3 and times.inputFiles() and not snapshots.read(spark, logs, block_time=(at("2024-01-02"), None)).inputFiles()
 
 
 def test_other_jobs_twice(spark, tmp_path):

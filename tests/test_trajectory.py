@@ -5,6 +5,7 @@ import pytest
 from tests.helpers import at, event, events
 from wayline.operators import funnel, trajectory as T
 from wayline.operators.trajectory import Filter
+from wayline.sinks import tables
 
 D2 = timedelta(days=2)
 LINK = "link_key string, src_entity_id string, dst_entity_id string, dst_chain string"
@@ -127,3 +128,22 @@ def test_unified_funnel(spark):
     none = funnel.unified_funnel(events(spark, event("s", "session_start", "2024-01-15")), links).collect()[0]
     assert (none.time_to_bridge, none.time_to_swap, none.converted) == (None, None, False)
     assert funnel.unified_funnel(events(spark, event("s", "swap", "2024-01-15")), links).count() == 0
+
+
+def test_stored_events_are_read_from_the_months_of_the_windows(spark, tmp_path):
+    months = [f"2024-{m:02d}" for m in range(1, 10)]
+    rows = [event(f"e{m}{k}", "swap", f"{m}-{10 + k}T12:00", entity=f"0x{k}") for m in months for k in range(4)]
+    rows += [event("a1", "session_start", "2024-03-31T20:00", entity="0x1"), event("a0", "session_start", "2024-07-12T20:00", entity="0x0")]
+    rows += [event("far", "swap", "2024-04-01T03:00", entity="0x1")]
+    tables.write_table(tables.event_rows(events(spark, *rows)), str(tmp_path / "t"), "canonical_events")
+    stored = tables.read_table(spark, str(tmp_path / "t"))
+    found = T.trajectory(stored, "session_start", timedelta(days=1), timedelta(hours=12), roots=["0x1"])
+    assert [r.event_id for r in found.collect()] == ["a1", "far"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [event_month#" in plan or "PartitionFilters: [isnotnull(event_month" in plan
+    assert "2024-03-01, 2024-04-01" in plan or "IN (2024-03-01,2024-04-01)" in plan
+    both = T.trajectory(stored, "session_start", timedelta(days=1), timedelta(hours=12)).collect()
+    assert sorted(r.event_id for r in both) == ["a0", "a1", "far"]
+    assert T.trajectory(stored, "no such", timedelta(days=1), timedelta(days=1)).collect() == []
+    whole = T.trajectory(stored.drop("event_month"), "session_start", timedelta(days=1), timedelta(hours=12)).collect()
+    assert sorted(r.event_id for r in whole) == ["a0", "a1", "far"]

@@ -266,6 +266,66 @@ def relationship_rows(resolved: DataFrame, detected_at: datetime | Column | None
     )
 
 
+def _reach(steps: DataFrame, target_type: str, hops: int, min_confidence: float) -> list[DataFrame]:
+    """For 1, 2 … hops: the nodes ``(__id_type, __id)`` from which some path of so many edges at most
+    ends at the type with a confidence that alone is high enough.
+
+    Labels run backwards from the targets, one number a node, whatever the roots are.
+    """
+    min_confidence *= 1 - 1e-9  # products of doubles depend on their order a little
+    into = F.when(F.col("__to_type") == target_type, F.col("__edge_conf"))
+    first = F.max(into).alias("__best")
+    reach = [steps.groupBy(F.col("__from_type").alias("__id_type"), F.col("__from_id").alias("__id")).agg(first).where(F.col("__best") >= min_confidence)]
+    while len(reach) < hops:
+        last = reach[-1]
+        further = steps.join(last, (F.col("__to_type") == F.col("__id_type")) & (F.col("__to_id") == F.col("__id")))
+        further = further.select(
+            F.col("__from_type").alias("__id_type"), F.col("__from_id").alias("__id"), (F.col("__edge_conf") * F.col("__best")).alias("__best")
+        )
+        known = last.unionByName(further).groupBy("__id_type", "__id").agg(F.max("__best").alias("__best"))
+        reach.append(materialize(known.where(F.col("__best") >= min_confidence), "reach"))
+    return reach
+
+
+def wallets_of(roots: DataFrame, edges: DataFrame, *, min_confidence: float = 0.5, max_depth: int = 3, wallet_type: str = "wallet") -> DataFrame:
+    """The best wallet of each root: that of ``resolve`` with the highest rounded confidence, the first reached on a tie.
+
+    The same search, but it keeps only what can still end at a wallet. A node from which no path of
+    the hops that are left reaches one is dropped when it is met; were it met again, later, fewer
+    hops would be left, so nothing that ``resolve`` finds is lost and nothing is found that it
+    doesn't. The last hop goes to wallets only, and paths are not carried. Confidences are shares
+    of one, so a path's is never above that of its last part.
+    """
+    steps = _steps(edges)
+    ord_type = steps.schema["__ord"].dataType.simpleString()
+    reach = _reach(steps, wallet_type, max_depth - 1, min_confidence) if max_depth > 1 else []
+    node = ["root_type", "root_id", "node_type", "node_id"]
+    best = F.struct(F.lit(0).alias("depth"), F.array().cast(f"array<{ord_type}>").alias("ords"), F.lit(1.0).alias("conf"))
+    reached = (
+        roots.select(F.col("entity_type").alias("root_type"), F.col("entity_id").alias("root_id"))
+        .distinct()
+        .select("root_type", "root_id", F.col("root_type").alias("node_type"), F.col("root_id").alias("node_id"), best.alias("best"))
+    )
+    is_wallet = F.col("__to_type") == wallet_type
+    for depth in range(1, max_depth + 1):
+        ahead = steps.where(is_wallet)
+        if depth < max_depth:
+            onward = reach[max_depth - depth - 1]
+            on = (F.col("__to_type") == F.col("__id_type")) & (F.col("__to_id") == F.col("__id"))
+            ahead = ahead.unionByName(steps.where(~F.coalesce(is_wallet, F.lit(False))).join(onward, on, "left_semi"))
+        conf = F.col("best.conf") * F.col("__edge_conf")
+        frontier = reached.where(F.col("best.depth") == depth - 1)
+        step = frontier.join(ahead, (F.col("node_type") == F.col("__from_type")) & (F.col("node_id") == F.col("__from_id"))).where(conf >= F.lit(min_confidence))
+        there = F.struct(F.lit(depth).alias("depth"), F.concat("best.ords", F.array("__ord")).alias("ords"), conf.alias("conf"))
+        step = step.select("root_type", "root_id", F.col("__to_type").alias("node_type"), F.col("__to_id").alias("node_id"), there.alias("best"))
+        reached = reached.unionByName(step).groupBy(*node).agg(F.min("best").alias("best"))
+        if depth < max_depth:
+            reached = materialize(reached, "reached")
+    order = F.struct((-F.round("best.conf", 4)).alias("c"), F.col("best.depth").alias("depth"), F.col("best.ords").alias("ords"), "node_id")
+    found = reached.where((F.col("best.depth") > 0) & (F.col("node_type") == wallet_type))
+    return found.groupBy("root_type", "root_id").agg(F.min(order).alias("__best")).select("root_type", "root_id", F.col("__best.node_id").alias("wallet"))
+
+
 def resolve_to_wallet(entities: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """The wallet each distinct ``(entity_type, entity_id)`` stands for.
 
@@ -276,16 +336,8 @@ def resolve_to_wallet(entities: DataFrame, edges: DataFrame | None = None) -> Da
     if edges is None:
         return distinct.withColumn("wallet", F.col("entity_id"))
     others = distinct.where(F.col("entity_type") != "wallet")
-    wallets = resolve(others, edges, target_type="wallet", max_depth=3)
-    order = F.struct((-F.col("confidence")).alias("c"), "depth", "walk_order", "entity_id")
-    best = (
-        wallets.groupBy("root_type", "root_id")
-        .agg(F.min(order).alias("__best"))
-        .select(
-            F.col("root_type").alias("entity_type"),
-            F.col("root_id").alias("entity_id"),
-            F.col("__best.entity_id").alias("__wallet"),
-        )
+    best = wallets_of(others, edges).select(
+        F.col("root_type").alias("entity_type"), F.col("root_id").alias("entity_id"), F.col("wallet").alias("__wallet")
     )
     return distinct.join(best, ["entity_type", "entity_id"], "left").select(
         "entity_type", "entity_id", F.coalesce("__wallet", "entity_id").alias("wallet")

@@ -78,6 +78,18 @@ def anchors(events: DataFrame, anchor: str) -> DataFrame:
     )
 
 
+#: Partition column of stored events.
+MONTH = "event_month"
+
+
+def _in_months(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Events of the months that the windows touch; one value a month reaches the driver."""
+    first, last = F.trunc(F.col("__from").cast("date"), "month"), F.trunc(F.col("__until").cast("date"), "month")
+    touched = windows.where(first <= last).select(F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))).alias("month")).distinct()
+    months = sorted(r["month"] for r in touched.where("month is not null").collect())
+    return events.where(F.col(MONTH).isin(months)) if months else events.where(F.lit(False))
+
+
 def _in_order(df: DataFrame, ordered: bool) -> DataFrame:
     if not ordered:
         return df
@@ -108,7 +120,9 @@ def trajectory(
 
     The anchors are one row per entity, found by partial aggregation, and meet
     the events in an equi-join on the entity, whose hot partitions Spark may
-    split.  Ids passed as a list also reach the scan as a filter.
+    split.  Ids passed as a list also reach the scan as a filter.  Events in
+    month folders are read from the months that some window touches: these are
+    known before the scan is planned, so the anchors are written first.
     """
     conditions = [f.column() for f in filters]
     if isinstance(roots, (list, tuple, set)) and edges is None:
@@ -133,6 +147,9 @@ def trajectory(
         shift(F.col("anchor_ts"), after).alias("__until"),
     )
     rows = events
+    if MONTH in events.columns:
+        found = materialize(found, "anchors")
+        rows = _in_months(rows, found)
     if not include_anchor:
         rows = rows.where(F.col("event_type") != anchor)
     if exclude_internal:
@@ -190,7 +207,10 @@ def trajectory_across(
         .distinct()
         .join(bounds, query)
     )
-    added = events.join(
+    if MONTH in events.columns:
+        far = materialize(far, "far-sides")
+    there = _in_months(events, far) if MONTH in events.columns else events
+    added = there.join(
         far,
         (F.col("entity_id") == F.col("__id"))
         & (F.col("chain") == F.col("__chain"))

@@ -2,7 +2,7 @@
 
 A table is a folder with `data/run=<id>/<month column>=<month>/` files and `_manifests/` of
 numbered versions. A manifest lists the month folders that are the table, each with its rows and
-the range of its bound column. A write puts files into folders of its own run first; the table
+the ranges of a few columns: a read of a range of them lists only the folders that meet it. A write puts files into folders of its own run first; the table
 changes only when the next manifest gets its name, by a rename that fails if another writer took
 that number. So a job lost anywhere before leaves the old table, readers of an old version keep
 its files, and a writer that lost the race runs its join again on what the other one wrote.
@@ -42,6 +42,12 @@ KEYS = {
     "entity_relationships": (["from_entity", "from_entity_type", "relationship_type", "to_entity", "to_entity_type"], None),
     "token_metadata": (["chain", "token_address"], None),
 }
+#: Columns whose ranges the manifest holds besides.
+RANGED = {
+    "canonical_events": ["block_number"],
+    "canonical_logs": ["block_time"],
+    "bridge_links": ["dst_block_time"],
+}
 ATTEMPTS = 5
 
 
@@ -51,13 +57,12 @@ class Conflict(Exception):
 
 @dataclass(frozen=True)
 class Part:
-    """One month folder; low and high are whole numbers (microseconds of times), null if it has no such value."""
+    """One month folder; column → lowest and highest value as whole numbers (microseconds of times)."""
 
     folder: str
     month: str | None
     rows: int
-    low: int | None
-    high: int | None
+    ranges: dict[str, list[int | None]]
 
 
 @dataclass(frozen=True)
@@ -139,17 +144,19 @@ def _whole(column: Column, kind: T.DataType) -> Column:
     return F.unix_micros(column) if isinstance(kind, T.TimestampType) else column.cast("long")
 
 
-def read(
-    spark: SparkSession, path: str, low: datetime | int | None = None, high: datetime | int | None = None, version: int | None = None
-) -> DataFrame:
-    """The table as of a version. `low` and `high` close a range of the bound column: only folders that meet it are listed."""
+Range = tuple[datetime | int | None, datetime | int | None]
+
+
+def read(spark: SparkSession, path: str, version: int | None = None, **ranges: Range) -> DataFrame:
+    """The table as of a version. Ranges of columns are closed, None leaves an end open; where the
+    manifest knows a column, only the folders that meet its range are listed."""
     found = manifest(spark, path, version=version)
-    low_, high_ = _number(spark, low), _number(spark, high)
-    rows = _frame(spark, path, found, [p for p in found.parts if _meets(p, low_, high_)])
-    bound = KEYS[found.table][1]
-    if low is not None:
-        rows = rows.where(F.col(bound) >= F.lit(low))
-    return rows if high is None else rows.where(F.col(bound) <= F.lit(high))
+    numbers = {c: (_number(spark, low), _number(spark, high)) for c, (low, high) in ranges.items()}
+    rows = _frame(spark, path, found, [p for p in found.parts if all(_meets(p, c, *n) for c, n in numbers.items())])
+    for column, (low, high) in ranges.items():
+        rows = rows if low is None else rows.where(F.col(column) >= F.lit(low))
+        rows = rows if high is None else rows.where(F.col(column) <= F.lit(high))
+    return rows
 
 
 def _number(spark: SparkSession, value: datetime | int | None) -> int | None:
@@ -158,10 +165,14 @@ def _number(spark: SparkSession, value: datetime | int | None) -> int | None:
     return value
 
 
-def _meets(part: Part, low: int | None, high: int | None) -> bool:
-    if part.low is None or part.high is None:
-        return low is None and high is None
-    return (low is None or part.high >= low) and (high is None or part.low <= high)
+def _meets(part: Part, column: str | None, low: int | None, high: int | None) -> bool:
+    """Whether the folder may have rows in the range. One that has no value in the column has none."""
+    if (low is None and high is None) or column not in part.ranges:
+        return True
+    first, last = part.ranges[column]
+    if first is None or last is None:
+        return False
+    return (low is None or last >= low) and (high is None or first <= high)
 
 
 def _frame(spark: SparkSession, path: str, of: Manifest, parts: list[Part]) -> DataFrame:
@@ -187,14 +198,17 @@ def _store(spark: SparkSession, rows: DataFrame, path: str, table: str) -> tuple
     writer.parquet(f"{path}/data/{run}")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in placed.schema])
     back = spark.read.schema(schema).parquet(f"{path}/data/{run}")
-    bound = KEYS[table][1]
-    value = _whole(F.col(bound), schema[bound].dataType) if bound else F.lit(None).cast("long")
+    ranged = [*filter(None, [KEYS[table][1]]), *RANGED.get(table, [])]
+    ends = []
+    for i, column in enumerate(ranged):
+        value = _whole(F.col(column), schema[column].dataType)
+        ends += [F.min(value).alias(f"low{i}"), F.max(value).alias(f"high{i}")]
     of = F.col(month) if month else F.lit(None).cast("date")
-    sizes = back.groupBy(of.alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
     parts = []
-    for r in sizes.collect():  # a row a month
+    for r in back.groupBy(of.alias("month")).agg(F.count(F.lit(1)).alias("n"), *ends).collect():  # a row a month
         name = run if month is None else f"{run}/{month}={r['month'] or '__HIVE_DEFAULT_PARTITION__'}"
-        parts.append(Part(name, str(r["month"]) if r["month"] else None, r["n"], r["low"], r["high"]))
+        ranges = {c: [r[f"low{i}"], r[f"high{i}"]] for i, c in enumerate(ranged)}
+        parts.append(Part(name, str(r["month"]) if r["month"] else None, r["n"], ranges))
     return schema, sorted(parts, key=lambda p: p.folder)
 
 
@@ -248,7 +262,7 @@ def insert_new(rows: DataFrame, path: str, table: str, anywhere: bool = False) -
 
     def step(old: Manifest) -> tuple[Manifest, int] | None:
         new = batch
-        near = list(old.parts) if anywhere or unknown else [p for p in old.parts if _meets(p, low, high)]
+        near = list(old.parts) if anywhere or unknown else [p for p in old.parts if _meets(p, KEYS[table][1], low, high)]
         if near:
             stored = _frame(spark, path, old, near)
             if not (anywhere or unknown):  # the same range again, for row groups
@@ -296,7 +310,7 @@ def upsert(rows: DataFrame, path: str, table: str, anywhere: bool = False) -> in
         month = LAYOUT[table][0]
         return (stored.drop(month) if month else stored).join(keys, _same_key(table, stored, keys), "left_anti")
 
-    rewrite(spark, path, table, lambda p: anywhere or unknown or _meets(p, low, high), change, batch)
+    rewrite(spark, path, table, lambda p: anywhere or unknown or _meets(p, KEYS[table][1], low, high), change, batch)
     return n
 
 
