@@ -116,4 +116,32 @@ def test_the_ascent_gathers_what_it_is_asked_for():
     x = np.random.default_rng(1).standard_normal((300, 8))
     forest = embeddings_forest.Forest(x, trees=4)
     for wanted in (1, 50, 300, 1000):
-        assert min(len(c) for c in forest.candidates(x[:20], wanted)) >= min(wanted, 300)
+        all_kept = forest.candidates(x[:20], np.full(20, wanted), np.full(20, 1000))
+        assert min(map(len, all_kept)) >= min(wanted, 300)
+        few = forest.candidates(x[:20], np.full(20, wanted), np.full(20, 5))
+        assert all(len(c) == min(5, len(w)) and set(c) <= set(w) for c, w in zip(few, all_kept))
+
+
+@pytest.mark.parametrize("n", [100, 500, 10_000, 50_000])
+def test_recall_at_every_size_without_a_switch(n):
+    """Vectors without structure, through the forest alone, a tenth measured."""
+    r = np.random.default_rng(n)
+    x = r.standard_normal((n, 64))
+    recalls = []
+    for block in np.array_split(np.arange(n), max(1, n // embeddings_forest.BLOCK_VECTORS)):
+        own, asked = x[block], x[:: max(1, n // 40)]
+        forest = embeddings_forest.Forest(own)
+        wanted, kept = (np.full(len(asked), embeddings_forest.part_of(len(own), p, 10)) for p in (embeddings_forest.GATHERED, embeddings_forest.MEASURED))
+        for q, found in zip(asked, forest.candidates(asked, wanted, kept)):
+            distance = ((own - q) ** 2).sum(1)
+            true = np.argsort(distance, kind="stable")[:11]
+            assert len(found) <= kept[0]
+            recalls.append(len(set(true) & set(found)) / 11)
+    assert np.mean(recalls) >= 0.9
+
+
+def test_rows_of_the_query_id_take_no_places(spark):
+    rows = [(100, [1.0, 0.001 * i]) for i in range(40)] + [(i, [1.0, 1.0 + i]) for i in range(1, 15)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embeddings_forest.nearest(frame.where("vec_id <> 100").unionByName(frame.where("vec_id = 100")), F.col("vec_id") == 100).collect()
+    assert {r["vec_id"] for r in got} <= set(range(1, 15)) and len(got) == 10

@@ -5,15 +5,16 @@ forest: a tree is a sorted array of 64-bit hash strings, a bit for each side of
 through the block's mean. A query descends every tree at once by binary search, to the entries
 that share the longest prefix with its own string, however long that is; then all trees
 ascend together, a bit a step, until the entries that share so long a prefix in some tree are
-as many as asked for. These candidates are measured exactly, in double precision.
+the part GATHERED of the block. A shared prefix says little about a vector without close
+neighbours, so what is gathered is put in order by the equal bits of all strings, which the
+trees hold anyway, and the part MEASURED of the block, those with most equal bits, is measured
+exactly, in double precision. Both parts are the same for blocks of every size, and four times the
+neighbours asked for at least.
 
 Queries are packed too, and meet the blocks by a join on the block number: a pair of packs is
 one row, results of a pair are the nearest of one block, and a last ranking keeps the nearest
-of all. Index and memory of a task are bounded by the block; all vectors are indexed.
-
-The ascent gathers the part `share` of a block, and at least `least` vectors. Vectors without any structure (all
-directions equally likely) need most: their nearest neighbours are hardly nearer than others.
-Where neighbours are close, a few hundredths do.
+of all. Index and memory of a task are bounded by the block; all vectors are indexed. A forest is
+built for every pack of queries that meets its block, which is a hundredth of that pack's work.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part; vectors of different length are not compared; a query with fewer candidates gets all;
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 
 from wayline.llm.tables import arrow_schema, as_table
 
-TREES = 96
+TREES = 48
 BITS = 64
 #: Vectors in a block, and queries in a pack.
 BLOCK_VECTORS = 16_384
 PACK_QUERIES = 4_096
-#: Part of a block that the ascent gathers, and the vectors it gathers at least.
-SHARE = 0.35
-LEAST = 1_000
+#: Part of a block that the ascent gathers, and part that is measured.
+GATHERED = 0.65
+MEASURED = 0.1
 
 
 class Forest:
@@ -48,9 +49,9 @@ class Forest:
     def __init__(self, vectors: np.ndarray, trees: int = TREES, seed: int = 11):
         self.mean = vectors.mean(axis=0)
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], trees * BITS)).astype(np.float32)
-        codes = self.codes(vectors)
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.strings = np.take_along_axis(codes, self.order, axis=0)
+        self.own = self.codes(vectors)
+        self.order = np.argsort(self.own, axis=0, kind="stable")
+        self.strings = np.take_along_axis(self.own, self.order, axis=0)
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Hash strings as numbers, a column per tree."""
@@ -61,11 +62,11 @@ class Forest:
             out.append(packed.reshape(len(part), -1).view(">u8").astype(np.uint64))
         return np.concatenate(out)
 
-    def candidates(self, queries: np.ndarray, wanted: int) -> list[np.ndarray]:
-        """For each query the vectors gathered by the ascent: at least so many, or all."""
+    def candidates(self, queries: np.ndarray, wanted: np.ndarray, kept: np.ndarray) -> list[np.ndarray]:
+        """For each query so many vectors as it keeps, or all: those of most equal bits of at least `wanted` from the ascent."""
         codes = self.codes(queries)
         n, trees = self.strings.shape
-        wanted = min(wanted, n)
+        wanted = np.minimum(wanted, n)
         low, high = np.zeros((BITS + 1, trees, len(queries)), np.int32), np.zeros((BITS + 1, trees, len(queries)), np.int32)
         for depth in range(BITS + 1):
             rest = np.uint64((1 << (BITS - depth)) - 1)
@@ -76,19 +77,24 @@ class Forest:
         out = []
         for q in range(len(queries)):
             # no deeper level can hold enough; from there on every step counts different vectors
-            depth = int(np.flatnonzero(found_at[:, q] >= wanted)[-1])
+            depth = int(np.flatnonzero(found_at[:, q] >= wanted[q])[-1])
             while True:
                 parts = [self.order[low[depth, t, q] : high[depth, t, q], t] for t in range(trees)]
                 marks = np.zeros(n, bool)
                 marks[np.concatenate(parts)] = True
                 found = np.flatnonzero(marks)
-                if len(found) >= wanted:
+                if len(found) >= wanted[q]:
                     break
                 depth -= 1
-            out.append(found)
+            equal = BITS * trees - np.bitwise_count(self.own[found] ^ codes[q]).sum(axis=1, dtype=np.int32)
+            out.append(found[np.argsort(-equal, kind="stable")[: kept[q]]])
         return out
 
 
+def part_of(n: int, part: float, k: int) -> int:
+    return max(4 * k, math.ceil(part * n))
+
+
 def _valid(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
@@ -114,8 +120,8 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     trees: int = TREES,
-    share: float = SHARE,
-    least: int = LEAST,
+    gathered: float = GATHERED,
+    measured: float = MEASURED,
     block_vectors: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest found.
@@ -142,9 +148,12 @@ def nearest(
                 ids, own = read(ids, "<i8"), read(data, "<f8").reshape(-1, dim)
                 q_ids, queries = read(q_ids, "<i8"), read(q_data, "<f8").reshape(-1, dim)
                 forest = Forest(own, trees)
-                wanted = max(least, 4 * k, math.ceil(share * len(own)))
+                # rows of the query's own id come on top: they are no candidates
+                same = np.searchsorted(ids, q_ids, "right") - np.searchsorted(ids, q_ids)
+                wanted, kept = (part_of(len(own), part, k) + same for part in (gathered, measured))
                 for a in range(0, len(queries), 256):
-                    for q, found in zip(range(a, len(queries)), forest.candidates(queries[a : a + 256], wanted)):
+                    some = slice(a, a + 256)
+                    for q, found in zip(range(a, len(queries)), forest.candidates(queries[some], wanted[some], kept[some])):
                         found = found[ids[found] != q_ids[q]]
                         score = np.sqrt(((own[found] - queries[q]) ** 2).sum(axis=1))
                         best = np.lexsort((ids[found], score))[:k]
