@@ -15,6 +15,7 @@ LAYOUT = {
     "token_prices": ("price_month", "timestamp", ["chain", "token_address", "timestamp"]),
     "entity_relationships": (None, None, ["from_entity", "relationship_type", "to_entity"]),
     "token_metadata": (None, None, ["chain", "token_address"]),
+    "anchor_index": (None, None, ["entity_id", "event_id"]),
 }
 
 #: Columns asked for by value that the order of the rows doesn't serve: files hold a Bloom filter of each.

@@ -41,6 +41,7 @@ KEYS = {
     "token_prices": (["chain", "token_address", "timestamp", "source"], "timestamp"),
     "entity_relationships": (["from_entity", "from_entity_type", "relationship_type", "to_entity", "to_entity_type"], None),
     "token_metadata": (["chain", "token_address"], None),
+    "anchor_index": (["entity_id", "event_id", "batch"], "batch"),
 }
 #: Columns whose ranges the manifest holds besides.
 RANGED = {

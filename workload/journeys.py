@@ -12,6 +12,7 @@ from wayline.operators.trajectory import Filter
 from wayline.schema import extra_map, from_storage_nulls
 from wayline.session import shared_folder
 from wayline.sinks import snapshots, tables
+from wayline.streaming.anchor_index import AnchorIndex
 from workload.registry import query
 from workload.standins import APP_EVENTS_SQL as EV
 from workload.standins import app_events, load
@@ -104,6 +105,22 @@ def trajectory_index(spark, sf):
     return T.trajectory_index(app_events(spark, sf), "purchase", DAY, DAY)
 
 
+@query(
+    "trajectory_index_maintained",
+    f"""WITH {ANCHOR_SQL}
+SELECT a.entity_id, a.anchor_ts, ev.event_id, (epoch_us(ev."timestamp") - epoch_us(a.anchor_ts)) / 1000000.0::DOUBLE AS offset_seconds
+FROM ev JOIN a USING (entity_id) WHERE ev."timestamp" BETWEEN a.anchor_ts - INTERVAL 1 DAY AND a.anchor_ts + INTERVAL 1 DAY""",
+)
+def trajectory_index_maintained(spark, sf):
+    """Four batches, each with events of all times; the third comes twice."""
+    index = AnchorIndex(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "purchase", DAY, DAY)
+    rows = tables.event_rows(app_events(spark, sf))
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for number in (0, 1, 2, 2, 3):
+        index.update(rows.where(part == number), number)
+    return index.read(spark)
+
+
 @query("event_identity", "SELECT event_id AS source_event_id, sha256('app:' || event_id) AS event_id FROM events")
 def event_identity(spark, sf):
     return app_events(spark, sf).select(F.col("source_event_id").cast("bigint").alias("source_event_id"), "event_id")
