@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from wayline.operators import funnel, links as L, rollups, trajectory as T
+from wayline.operators import chain_links, funnel, links as L, rollups, trajectory as T
 from workload.registry import query
 from workload.standins import INS_SQL, LINKS_SQL, OUTS_SQL, lineitem_ins, order_outs
 
@@ -97,6 +97,32 @@ def links_strict(spark, sf):
     return rows.select("src_event_id", "dst_event_id")
 
 
+@query(
+    "links_by_chain",
+    f"""WITH {OUTS_SQL}, {INS_SQL}, r AS (
+  SELECT entity_id AS k, link_key_type AS c, "timestamp" AS ts, event_id, 1 AS d FROM outs
+  UNION ALL SELECT outs.entity_id, outs.link_key_type, ins."timestamp", ins.event_id, -1 FROM ins JOIN outs ON outs.link_key = ins.link_key),
+s AS (SELECT *, sum(d) OVER w AS s FROM r WINDOW w AS (PARTITION BY k, c ORDER BY ts, d DESC, event_id ROWS UNBOUNDED PRECEDING)),
+m AS (
+  SELECT *, least(0, min(s) OVER (w ROWS UNBOUNDED PRECEDING)) AS m, coalesce(least(0, min(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0) AS m0
+  FROM s WINDOW w AS (PARTITION BY k, c ORDER BY ts, d DESC, event_id)),
+l AS (SELECT *, s - m + CASE WHEN d = 1 THEN 0 ELSE 1 END AS level FROM m WHERE d = 1 OR s >= m0),
+p AS (SELECT *, lag(event_id) OVER w AS src_event_id, lag(ts) OVER w AS src_ts FROM l WINDOW w AS (PARTITION BY k, c, level ORDER BY ts, d DESC, event_id))
+SELECT src_event_id, event_id AS dst_event_id FROM p WHERE d = -1 AND ts <= src_ts + INTERVAL 60 DAY""",
+)
+def links_by_chain(spark, sf):
+    # the customer is the key and the order's priority its origin chain: both repeat
+    outs, ins = order_outs(spark, sf), lineitem_ins(spark, sf)
+    owners = outs.select("link_key", F.col("entity_id").alias("__owner"), F.col("link_key_type").alias("__origin"))
+    ins = ins.join(owners, "link_key").withColumn("link_key", F.col("__owner"))
+    typed = {"link_key_type": F.lit("customer")}
+    outs = outs.withColumns({"chain": F.col("link_key_type"), "link_key": F.col("entity_id")})
+    rows = chain_links.match_by_chain(
+        outs.withColumns(typed), ins.withColumns(typed), origin=F.col("__origin"), max_delay=60 * DAY, bucket=90 * DAY
+    )
+    return rows.select("src_event_id", "dst_event_id")
+
+
 @query(
     "links_sample",
     f"""{BASE_SQL} SELECT link_key_type, link_key, sample_no FROM (
