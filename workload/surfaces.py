@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.plans import attribution as A
 from wayline.plans import health as HL
+from wayline.plans import holdings as HO
 from wayline.plans import scoring as S
 from wayline.schema import CANONICAL_EVENTS, ENTITY_RELATIONSHIPS, conform
 from wayline.session import shared_folder
@@ -179,6 +180,38 @@ def wallet_segment(spark, sf):
     return _scores(rows)
 
 
+MOVES_SQL = """m AS (
+  SELECT 'c:' || o_custkey AS giver, 's:' || l_suppkey AS taker, CAST(l_partkey % 3 AS VARCHAR) AS token,
+    CAST(round(l_extendedprice * 100) AS HUGEINT) AS high, l_orderkey::HUGEINT AS low, l_shipdate AS ts
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate <= TIMESTAMP '2000-06-30'),
+b AS (
+  SELECT token, giver AS entity_id, '-' AS sign, sum(high) AS high, sum(low) AS low, count(*) AS n FROM m GROUP BY ALL
+  UNION ALL SELECT token, taker, '', sum(high), sum(low), count(*) FROM m GROUP BY ALL),
+held AS (SELECT token AS token_address, entity_id, sign || high || lpad(CAST(low AS VARCHAR), 50, '0') AS balance, n AS n_transfers FROM b)"""
+
+
+def _moves(spark, sf):
+    """Line items as transfers from customer to supplier; amounts have some 60 digits."""
+    l, o = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    rows = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    high = F.round(F.col("l_extendedprice") * 100).cast("decimal(18,0)").cast("string")
+    return rows.select(
+        F.lit("sales").alias("chain"), F.concat(F.lit("c:"), "o_custkey").alias("entity_id"), F.concat(F.lit("s:"), "l_suppkey").alias("counterparty"),
+        (F.col("l_partkey") % 3).cast("string").alias("token_out"), F.concat(high, F.lpad(F.col("l_orderkey").cast("string"), 50, "0")).alias("amount_out_raw"),
+        F.lit(None).cast("decimal(38,0)").alias("amount_out"), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+    )
+
+
+@query("token_balances", f"WITH {MOVES_SQL} SELECT token_address, entity_id, balance, n_transfers FROM held")
+def token_balances(spark, sf):
+    return HO.balances(_moves(spark, sf), as_of=datetime(2000, 6, 30)).drop("chain")
+
+
+@query("token_holders", f"WITH {MOVES_SQL} SELECT entity_id, balance FROM held WHERE token_address = '1' AND sign = '' AND high >= 5000000".replace("lpad(CAST(low AS VARCHAR), 50, '0') AS balance", "lpad(CAST(low AS VARCHAR), 50, '0') AS balance, sign, high"))
+def token_holders(spark, sf):
+    return HO.holders(_moves(spark, sf), "1", at_least=5_000_000 * 10**50, as_of=datetime(2000, 6, 30)).select("entity_id", "balance")
+
+
 @query(
     "outreach_conversions",
     """WITH o AS (SELECT c_custkey, TIMESTAMP '1998-06-01' + to_days(c_nationkey::INTEGER) AS ts FROM customer)
