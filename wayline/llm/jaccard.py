@@ -110,13 +110,19 @@ def text_code(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
+def row_code(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart that differ in id or text, never null."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text.cast("string"), F.lit(""))]
+    return F.unhex(F.md5(F.concat(parts[0], F.lit(":"), parts[1]).cast("binary")))
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, block_bytes: int, coded: bool) -> DataFrame:
-    """doc_id, block, n (grams), a and b (codes of the whole set), short (grams of the short part that others have), grams and code of the text (if asked for).
+    """doc_id, block, n (grams), a and b (codes of the whole set), short (grams of the short part that others have), grams and code of the row (if asked for).
 
     short and grams are null for sets without partners, and for repeats of a set in its block.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    code = text_code(text) if coded else F.lit(None).cast("binary")
+    code = row_code(F.col(f"`{id_col}`").cast("long"), text) if coded else F.lit(None).cast("binary")
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), code.alias("code"))
     blocks, block_col, total = in_blocks(narrow, "doc_id", "text", block_bytes)
     census = Census(total // 5)
@@ -277,7 +283,7 @@ def join(
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set),
     component_id (smallest id reachable by links) and n_links (documents it links with).
 
-    `coded` adds text_code and component: a number that the linked rows share whatever their ids
+    `coded` adds row_code and component: a number that the linked rows share whatever their ids
     are, null for empty sets.
     """
     found = materialize(_documents(docs, id_col, text_col, k, pct, block_bytes, coded), "gram-sets")
@@ -319,7 +325,7 @@ def join(
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("least", "class_id", "doc_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-        F.col("code").alias("text_code"),
+        F.col("code").alias("row_code"),
         F.coalesce("component", "class").alias("component"),
     )
-    return rows if coded else rows.drop("text_code", "component")
+    return rows if coded else rows.drop("row_code", "component")
