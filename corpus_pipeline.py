@@ -35,33 +35,33 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of similar texts connect, the row of the smallest id (and text code).
+    """Of each group that links of similar texts connect, the row of the smallest id (and code).
 
-    Rows without words link with nothing and stay.
+    Rows without words link with nothing and stay. Texts are shuffled once, by the row's code, to
+    meet what was decided; a plan that broadcasts the decisions while they are few would need
+    another at scale.
     """
-    found = materialize(jaccard.join(docs, coded=True).where("component is not null").select("component", "doc_id", "text_code"), "groups")
-    # one row per (id, text): what repeats them in full is told apart at the end
-    rows = found.groupBy("component", "doc_id", "text_code").agg(F.count(F.lit(1)).alias("n"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_code")
-    stays = rows.groupBy(F.col("component").alias("group")).agg(F.count(F.lit(1)).alias("texts"), F.min(order).alias("stays"))
-    rows = rows.join(stays, rows["component"] == stays["group"]).where("texts > 1 OR n > 1")
-    rows = materialize(rows.select("doc_id", "text_code", (order == F.col("stays")).alias("stays")), "judged")
-
-    code = fresh(docs, "text_code")
-    coded = docs.withColumn(code, jaccard.text_code(docs["text"]))
-
-    def those(side: DataFrame, how: str) -> DataFrame:
-        same = coded["doc_id"].cast("long").eqNullSafe(side["doc_id"]) & (coded[code] == side["text_code"])
-        return coded.join(side, same, how)
-
-    single = those(rows, "left_anti").drop(code)
-    # the rows that stay for their group, once each: Spark keeps the first of each task before the shuffle
-    again = fresh(coded, "again")
+    found = materialize(jaccard.join(docs, coded=True).where("component is not null").select("component", "doc_id", "row_code"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_code")
+    stays = found.groupBy(F.col("component").alias("group")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("stays")).where("n > 1")
+    # written, so that the join has a shuffle of its own and a large group's rows can be split
+    stays = materialize(stays.select("group", F.col("stays.row_code").alias("stays")), "stays")
+    rows = found.join(stays, found["component"] == stays["group"])
+    # rows that are equal in id and text have one code: one of them stays if theirs does
+    rows = rows.groupBy(F.col("row_code").alias("judged")).agg(F.max(F.col("row_code") == F.col("stays")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows.where("NOT stays OR n > 1").select("judged", F.col("stays").alias("judged_stays")), "judged")
+
+    code, again = fresh(docs, "row_code"), fresh(docs, "again")
+    stays = fresh(docs, "judged_stays")
+    coded = docs.withColumn(code, jaccard.row_code(docs["doc_id"].cast("long"), docs["text"]))
+    rows = rows.select(F.col("judged").alias(judged := fresh(docs, "judged")), F.col("judged_stays").alias(stays))
+    met = coded.join(rows.hint("merge"), coded[code] == rows[judged], "left")
     kinds = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
     plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, kinds)]
-    first = F.row_number().over(Window.partitionBy("doc_id", code).orderBy(*plain))
-    kept = those(rows.where("stays"), "left_semi").withColumn(again, first).where(F.col(again) == 1)
-    return single.unionByName(kept.drop(code, again))
+    first = F.row_number().over(Window.partitionBy(code).orderBy(*plain))
+    one = met.where(F.col(stays)).withColumn(again, first).where(F.col(again) == 1)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return met.where(F.col(stays).isNull()).select(*own).unionByName(one.select(*own))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
