@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.scalars import seconds_between, shift
@@ -121,24 +121,41 @@ def funnel_counts(reached: DataFrame, steps: list[str]) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def cohort_retention(events: DataFrame, activity: str | None = None, entity: str = "entity_id") -> DataFrame:
+def cohort_retention(
+    events: DataFrame, activity: str | None = None, entity: str = "entity_id", channel: Column | None = None
+) -> DataFrame:
     """Share of each first-week cohort active in the weeks after.
 
     ``activity`` limits what counts as active; the first touch is any event.
+    With ``channel``, cohorts are those of a week and an acquisition channel
+    (column ``channel``): what the column says of the entity's first event, of
+    those at that time the one of the smallest event id.
     """
     week = F.date_trunc("week", "timestamp").alias("week")
-    first = events.groupBy(entity).agg(F.date_trunc("week", F.min("timestamp")).alias("cohort_week"))
+    begins = [F.date_trunc("week", F.min("timestamp")).alias("cohort_week")]
+    cohort = ["cohort_week"]
+    if channel is not None:
+        told = F.struct(channel.alias("channel"))  # a channel that is null counts as one
+        begins.append(F.min_by(told, F.struct("timestamp", "event_id"))["channel"].alias("channel"))
+        cohort.append("channel")
+    first = events.groupBy(entity).agg(*begins)
     active = events if activity is None else events.where(F.col("event_type") == activity)
     weeks = active.select(entity, week).distinct()
     offset = F.floor(F.datediff("week", "cohort_week") / 7).cast("int")
     returned = (
         weeks.join(first, entity)
-        .groupBy("cohort_week", offset.alias("week_no"))
+        .groupBy(*cohort, offset.alias("week_no"))
         .agg(F.count(F.lit(1)).alias("n_active"))
     )
-    sizes = first.groupBy("cohort_week").agg(F.count(F.lit(1)).alias("cohort_size"))
-    return returned.join(sizes, "cohort_week").withColumn(
-        "share", F.round(F.col("n_active") / F.col("cohort_size"), 6)
+    sizes = first.groupBy(*cohort).agg(F.count(F.lit(1)).alias("cohort_size"))
+    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in cohort], "cohort_size")
+    same = [returned["cohort_week"] == sizes["__cohort_week"]]
+    if channel is not None:
+        same.append(returned["channel"].eqNullSafe(sizes["__channel"]))
+    return (
+        returned.join(sizes, same)
+        .drop(*[f"__{c}" for c in cohort])
+        .withColumn("share", F.round(F.col("n_active") / F.col("cohort_size"), 6))
     )
 
 

@@ -208,6 +208,23 @@ def cohort_retention(spark, sf):
     return funnel.cohort_retention(app_events(spark, sf), "purchase")
 
 
+@query(
+    "channel_retention",
+    f"""WITH {EV},
+f AS (SELECT entity_id, date_trunc('week', min("timestamp"))::TIMESTAMP AS cohort_week,
+        'ch' || arg_min(CAST(json_extract_string(extra, '$.k') AS INTEGER) % 4, ("timestamp", event_id)) AS channel FROM ev GROUP BY 1),
+w AS (SELECT DISTINCT entity_id, date_trunc('week', "timestamp")::TIMESTAMP AS week FROM ev WHERE event_type = 'purchase'),
+n AS (SELECT cohort_week, channel, CAST(date_diff('day', cohort_week, week) / 7 AS INTEGER) AS week_no, count(*) AS n_active
+      FROM w JOIN f USING (entity_id) GROUP BY 1, 2, 3),
+c AS (SELECT cohort_week, channel, count(*) AS cohort_size FROM f GROUP BY 1, 2)
+SELECT n.*, cohort_size, round(n_active / cohort_size::DOUBLE, 6) AS share
+FROM n JOIN c ON c.cohort_week = n.cohort_week AND c.channel IS NOT DISTINCT FROM n.channel""",
+)
+def channel_retention(spark, sf):
+    channel = F.concat(F.lit("ch"), (F.get_json_object("extra", "$.k").cast("int") % 4).cast("string"))
+    return funnel.cohort_retention(app_events(spark, sf), "purchase", channel=channel)
+
+
 @query(
     "retention_table",
     f"""WITH {RETENTION_SQL} SELECT cohort_week, max(CASE WHEN week_no = 0 THEN share END) AS "0",
