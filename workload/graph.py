@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from wayline.operators import identity as G
+from wayline.operators import resolvers as R
 from workload.registry import query
 from workload.standins import load
 
@@ -224,3 +225,40 @@ def name_mapping(spark, sf):
     )
     landed = bodies.select(F.from_json("body", "address string, name string, avatar string").alias("b")).select("b.*")
     return G.name_mapping(landed).select("*", F.col("extra")["avatar"].alias("avatar")).drop("extra")
+
+
+LOGINS_SQL = """logins AS (SELECT 'cl' || o_custkey % 500 AS client, 'w' || o_custkey AS wallet, o_orderdate::TIMESTAMP AS ts FROM orders),
+held AS (SELECT client, ts, max(wallet) AS wallet FROM logins GROUP BY 1, 2)"""
+
+
+def _logins(spark, sf):
+    """Every order is a login: customers share clients, so a client's wallet changes often."""
+    return R.client_wallets(
+        load(spark, sf, "orders").select(
+            F.concat(F.lit("cl"), F.col("o_custkey") % 500).alias("client_id"), F.concat(F.lit("w"), "o_custkey").alias("wallet"),
+            F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        )
+    )
+
+
+@query(
+    "client_wallets_as_of",
+    f"""WITH {LOGINS_SQL}, e AS (SELECT event_id, 'cl' || user_id % 600 AS client, TIMESTAMP '1996-01-01' + to_days(CAST(event_id % 1500 AS INTEGER)) AS ts FROM events)
+SELECT CAST(e.event_id AS VARCHAR) AS event_id, held.wallet, held.ts AS valid_from FROM e ASOF LEFT JOIN held ON held.client = e.client AND e.ts >= held.ts""",
+)
+def client_wallets_as_of(spark, sf):
+    events = load(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), F.lit("client_id").alias("entity_type"), F.concat(F.lit("cl"), F.col("user_id") % 600).alias("entity_id"),
+        (F.lit("1996-01-01").cast("timestamp") + F.make_interval(days=(F.col("event_id") % 1500).cast("int"))).alias("timestamp"),
+    )
+    found = R.resolve_as_of(events, _logins(spark, sf), bucket=timedelta(days=30))
+    return found.select("event_id", F.col("to_entity").alias("wallet"), "valid_from")
+
+
+@query(
+    "client_wallets_at",
+    f"""WITH {LOGINS_SQL} SELECT client AS entity_id, max_by(wallet, ts) AS wallet FROM held WHERE ts <= TIMESTAMP '1997-06-01' GROUP BY 1""",
+)
+def client_wallets_at(spark, sf):
+    at = datetime(1997, 6, 1)
+    return R.mapping_at(_logins(spark, sf), F.lit(at.isoformat(" ")).cast("timestamp")).select("entity_id", F.col("to_entity").alias("wallet"))
