@@ -59,11 +59,24 @@ def test_the_sample_is_bounded(spark):
     assert ordinal_quality._sample(docs, ratings, "doc_id", "text", "grade", fit).count() == 20
 
 
-def test_no_ratings_give_no_model(spark):
-    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    for ratings in ([], [(1, 1)]):
-        with pytest.raises(ValueError):
-            ordinal_quality.train(docs, spark.createDataFrame(ratings, "doc_id long, grade int"))
+def test_few_grades_have_defined_results(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    none = ordinal_quality.train(docs, spark.createDataFrame([], "doc_id long, grade int"))
+    assert {tuple(r)[2:] for r in ordinal_quality.score(docs, none, tail=1).collect()} == {(None, None)}
+    one = ordinal_quality.train(docs, spark.createDataFrame([(1, 3)], "doc_id long, grade int"))
+    assert {tuple(r)[2:] for r in ordinal_quality.score(docs, one, tail=3).collect()} == {(3.0, 1.0)}
+    assert {r["tail_probability"] for r in ordinal_quality.score(docs, one, tail=4).collect()} == {0.0}
+
+
+def test_grades_count_by_rank(spark, model):
+    """Grades below 0 and with gaps give the same thresholds, and means on their own scale."""
+    rows = graded(1, 900)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    odd = ordinal_quality.train(docs, spark.createDataFrame([(i, [-5, 0, 7][g]) for i, _, g in rows], "doc_id long, grade int"))
+    assert odd.grades == (-5, 0, 7) and np.allclose(odd.thresholds, model.thresholds)
+    same = {r["doc_id"]: r["tail_probability"] for r in ordinal_quality.score(docs, model, tail=2).collect()}
+    for r in ordinal_quality.score(docs, odd, tail=7).collect():
+        assert r["tail_probability"] == pytest.approx(same[r["doc_id"]]) and -5 <= r["expected_grade"] <= 7
 
 
 def exact(rows, k):

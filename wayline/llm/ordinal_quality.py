@@ -14,9 +14,11 @@ features are kept in `PARTS` parts; a round fits each part from the common weigh
 gradient steps) and averages the results. Scoring is one pass over all documents.
 
 Defined results: null ratings and rated ids without a document are not used; the lowest of
-several ratings of an id holds; without any ratings, or with one grade only, there is no model
-and ValueError is raised; a null or empty text has the features of its length only; repeated
-rows are scored each; no rows give none. Only the named columns are read, so extra columns
+several ratings of an id holds; grades are any whole numbers, fitted by their rank; with one grade
+only, every document gets it; without any ratings nothing is known, and scores are null; a null or
+empty text has the features of its length only; a text of any length is read whole (texts share a
+run of 1 MB, a longer one is a run of its own); repeated rows are scored each, and used each where
+their id is rated; no rows give none. Only the named columns are read, so extra columns
 can't clash.
 """
 
@@ -55,11 +57,26 @@ class Fit:
 class Model:
     weights: np.ndarray = field(repr=False)
     thresholds: np.ndarray
+    #: the grades in ascending order, one more than thresholds
+    grades: tuple[int, ...]
 
     def tails(self, latent: np.ndarray) -> np.ndarray:
         """P(grade > j) for every threshold j."""
         return 1 - _sigmoid(self.thresholds[None] - latent[:, None])
 
+    def expected(self, latent: np.ndarray) -> np.ndarray | list[None]:
+        """The mean grade, null without a model."""
+        return self.grades[0] + self.tails(latent) @ np.diff(self.grades) if self.grades else [None] * len(latent)
+
+    def at_least(self, latent: np.ndarray, grade: int) -> np.ndarray | list[None]:
+        """Probability of the grade or a better one, null without a model."""
+        below = sum(g < grade for g in self.grades)
+        if not self.grades:
+            return [None] * len(latent)
+        if below in (0, len(self.grades)):
+            return np.full(len(latent), float(below == 0))
+        return self.tails(latent)[:, below - 1]
+
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -108,21 +125,22 @@ def _sample(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, gra
     return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(fit.seed + 1)), F.lit(PARTS)).cast("int"))
 
 
-def _screened(sample: DataFrame, fit: Fit) -> tuple[np.ndarray, int]:
-    """Features that depend on the grade, and the number of grades. At most 2**FEATURE_BITS numbers reach the driver."""
+def _screened(sample: DataFrame, fit: Fit) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Features that depend on the grade, and the grades. At most 2**FEATURE_BITS numbers reach the driver."""
     sizes = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        raise ValueError("Ratings of two grades at least are needed")
+    grades = tuple(sorted(sizes))
+    if len(grades) < 2:
+        return np.empty(0, np.int64), grades
     total = sum(sizes.values())
     seen = sample.select("grade", F.explode("features").alias("feature"))
     counts = seen.groupBy("feature").agg(
         F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.count(F.when(F.col("grade") == g, 1)).cast("double").alias(f"g{g}") for g in sizes],
+        *[F.count(F.when(F.col("grade") == g, 1)).cast("double").alias(f"g{i}") for i, g in enumerate(grades)],
     )
-    chi = sum(((F.col(f"g{g}") - F.col("n") * (size / total)) ** 2) / (F.col("n") * (size / total)) for g, size in sizes.items())
+    chi = sum(((F.col(f"g{i}") - F.col("n") * (sizes[g] / total)) ** 2) / (F.col("n") * (sizes[g] / total)) for i, g in enumerate(grades))
     rare = F.greatest(1 - F.col("n") / total, F.lit(1e-6))
     kept = counts.where((F.col("n") >= fit.min_documents) & (chi / rare >= fit.min_chi_squared))
-    return np.sort(np.array([r[0] for r in kept.select("feature").collect()], np.int64)), max(sizes) + 1
+    return np.sort(np.array([r[0] for r in kept.select("feature").collect()], np.int64)), grades
 
 
 def train_part(rows: list[tuple[int, np.ndarray]], state: np.ndarray, n_features: int, fit: Fit, seed: int) -> np.ndarray:
@@ -150,11 +168,13 @@ def train_part(rows: list[tuple[int, np.ndarray]], state: np.ndarray, n_features
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit: Fit = Fit()) -> Model:
-    """Fit weights and thresholds to ratings (id, grade from 0 on)."""
+    """Fit weights and thresholds to ratings (id, grade)."""
     sample = materialize(_sample(docs, ratings, id_col, text_col, grade_col, fit), "rated")
     used, grades = _screened(sample, fit)
     n = len(used)
-    state = np.concatenate([np.zeros(n), np.full(n, 1e-8), np.linspace(-1, 1, grades - 1)])
+    if len(grades) < 2:
+        return Model(np.zeros(1 << FEATURE_BITS), np.empty(0), grades)
+    state, rank = np.concatenate([np.zeros(n), np.full(n, 1e-8), np.linspace(-1, 1, len(grades) - 1)]), {g: i for i, g in enumerate(grades)}
     out = arrow_schema(kinds := "part int, n long, state binary")
 
     def round_of(state: np.ndarray, turn: int):
@@ -163,7 +183,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
             for grade, own in zip(part["grade"].to_pylist(), part["features"]):
                 own = own.values.to_numpy()
                 at = np.minimum(np.searchsorted(used, own), max(0, n - 1))
-                rows.append((grade, at[used[at] == own] if n else at[:0]))
+                rows.append((rank[grade], at[used[at] == own] if n else at[:0]))
             number = part["part"][0].as_py()
             new = train_part(rows, state, n, fit, fit.seed + 1000 * turn + number)
             return as_table({"part": [number], "n": [len(rows)], "state": [new.tobytes()]}, out)
@@ -177,7 +197,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         state = sum(np.frombuffer(r["state"]) * (r["n"] / total) for r in found)
     weights = np.zeros(1 << FEATURE_BITS)
     weights[used] = state[:n]
-    return Model(weights, state[2 * n :])
+    return Model(weights, state[2 * n :], grades)
 
 
 def score(docs: DataFrame, model: Model, tail: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +209,8 @@ def score(docs: DataFrame, model: Model, tail: int, id_col: str = "doc_id", text
         for batch in batches:
             for first, n, row, feature in features(batch.column(1)):
                 latent = np.bincount(row, weights=model.weights[feature], minlength=n)
-                tails = model.tails(latent)
+                expected, wanted = model.expected(latent), model.at_least(latent, tail)
                 columns = {"doc_id": batch.column(0).slice(first, n), "latent": latent}
-                yield from as_table(columns | {"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, tail - 1]}, out).to_batches()
+                yield from as_table(columns | {"expected_grade": expected, "tail_probability": wanted}, out).to_batches()
 
     return narrow.mapInArrow(run, kinds)
