@@ -9,8 +9,10 @@ begins with (`<`, `[`) and the escape sign `%` are written as `%3C`, `%5B` and `
 can't forge a mark, and reading undoes it. The mask is a span of characters of the example.
 
 Defined results: null texts and roles are empty; turns of equal number are ordered by role,
-then text; repeated rows stay; a null conversation id is a conversation of its own; no rows
-give no examples. Only the named columns are read, so extra columns can't clash.
+then text; repeated rows stay; a null conversation id is a conversation of its own; a text of
+any length stays whole; no rows give no examples. A conversation's turns meet in one row, and its
+examples repeat their prefixes, so one of n turns takes n times its text: thousands of turns are for
+a splitter before this. Only the named columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ copies. Windows are judged on the input: removing one does not save another.
 
 Defined results: words are runs of characters other than space and \\t to \\r; a null text has
 none; rows of equal id are taken in the order of their texts, and a repeated row counts as a
-later one; no rows give no rows. All columns of the documents are kept; the added columns take
+later one; a text of any length is judged whole, in one task that takes some 15 times its bytes; no
+rows give no rows. All columns of the documents are kept; the added columns take
 names that they don't have.
 """
 

@@ -14,7 +14,8 @@ u4 document ends; u4 block byte starts and their end; u4 exception starts by blo
 end; u4 block minima; u1 block widths; exceptions u1 place and u4 high bits; packed values, a plane of bits at a time.
 
 Defined results: a null text is empty, a document of one end id; documents of equal id follow by
-text, repeated rows one after another; null ids come first; no rows give no shards. Only the
+text, repeated rows one after another; null ids come first; a text of any length is encoded whole, in one
+task, and is a shard of its own beyond SHARD_IDS; no rows give no shards. Only the
 named columns are read, so extra columns can't clash.
 """
 
