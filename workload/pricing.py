@@ -25,10 +25,6 @@ START, END = datetime(1993, 1, 1), datetime(1999, 12, 31)
 
 
 def trades(spark, sf):
-    return derived_table(spark, f"{sf}/trades", lambda: _trades(spark, sf))
-
-
-def _trades(spark, sf):
     """Line items as events: a part comes in and, for some suppliers, dollars go out."""
     paid = F.col("l_suppkey") % 3 == 0
     cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(38,0)")

@@ -2,9 +2,9 @@
 
 The tables have no chains, tokens or wallets, so customers, orders and line
 items stand in for them.  Everything here is a projection or a bounded group of
-the given rows, so the work grows with the tables.  Event tables that cost work
-to derive (a hash over the row, hex words) are written once per application;
-the operators then start at a scan, as they do in use.
+the given rows, so the work grows with the tables.  Projections of one row are
+part of the plan that reads them: a query computes the columns it takes, and no
+wide event or log is shuffled or written before the operator starts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from wayline.functions.scalars import event_id
 from wayline.operators import decode as D
 from wayline.schema import CANONICAL_EVENTS, conform
-from wayline.session import derived_table
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -53,10 +52,6 @@ ev AS (
 
 
 def order_outs(spark: SparkSession, sf: str) -> DataFrame:
-    return derived_table(spark, f"{sf}/order_outs", lambda: _order_outs(spark, sf))
-
-
-def _order_outs(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as transfers leaving a customer."""
     rows = load(spark, sf, "orders").select(
         F.concat(F.lit("c:"), "o_custkey").alias("entity_id"),
@@ -92,10 +87,6 @@ def line_hash():
 
 
 def lineitem_ins(spark: SparkSession, sf: str) -> DataFrame:
-    return derived_table(spark, f"{sf}/lineitem_ins", lambda: _lineitem_ins(spark, sf))
-
-
-def _lineitem_ins(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as transfers arriving at a supplier; ``event_id`` is a hash of
     the whole row because (l_orderkey, l_linenumber) repeats."""
     rows = load(spark, sf, "lineitem").select(
@@ -145,12 +136,6 @@ def _word(column) -> F.Column:
 
 
 def chain_logs(spark: SparkSession, sf: str) -> DataFrame:
-    """The encoded logs as a landed table: decoding then starts at a scan, as it
-    does in use."""
-    return derived_table(spark, f"{sf}/landed_logs", lambda: _encoded_logs(spark, sf))
-
-
-def _encoded_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Line items encoded as raw logs, an event signature per row.
 
     The signature follows from (l_partkey + l_suppkey) mod 11; 10 is one that
