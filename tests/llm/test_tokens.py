@@ -8,7 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from wayline.llm import packing, token_files
-from wayline.llm.tokens import CUTS, Encoder, crc32
+from wayline.llm.tables import lighten
+from wayline.llm.tokens import CUTS, Encoder, crc32, encoder
 
 ODD = [
     None, "", "  a", "a <|endoftext|> b", "a  \n\n b\tc 'll don't", "É<|startoftext|> Σας İ x", "é ́a", "a\n\nb", "a b　c",
@@ -128,3 +129,13 @@ def test_empty_tables(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert packing.pack(none, path).count() == 0
     assert token_files.read(token_files.write(none, path)).count() == 0
+
+
+def test_block_tasks_drop_cached_pieces():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = encoder(path)
+    before = encode.encode("the words of a text")
+    assert encode.pieces
+    lighten()
+    assert not encode.pieces and not encode.pieces.old
+    assert np.array_equal(encoder(path).encode("the words of a text"), before)

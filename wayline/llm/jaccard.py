@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.blocks import BLOCK_BYTES, in_blocks, in_order, pack
 from wayline.llm.components import components
-from wayline.llm.tables import arrow_schema, as_table
+from wayline.llm.tables import arrow_schema, as_table, lighten
 from wayline.llm.words import U64, mix, rolling, words_of
 from wayline.session import materialize
 
@@ -129,6 +129,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, bl
     sent = arrow_schema(kinds := "block int, part int, low binary, high binary, counts binary")
 
     def send(block: pa.Table) -> pa.Table:
+        lighten()
         grams, _ = gram_sets(in_order(block, "doc_id", "text")["text"], k)
         short, _, counts = census.distinct(grams)
         edges = census.edges(short)
@@ -141,6 +142,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, bl
     answered = arrow_schema(answer_kinds := "block int, part int, lengths binary")
 
     def answer(group: pa.Table) -> pa.Table:
+        lighten()
         read = lambda name: [np.frombuffer(x.as_buffer(), "<u4") for x in group[name]]
         low = read("low")
         codes = np.concatenate(low).astype(U64) | (np.concatenate(read("high")).astype(U64) << U64(32))
@@ -155,6 +157,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int, bl
     def order(block: pa.Table, found: pa.Table) -> pa.Table:
         if block.num_rows == 0:
             return out.empty_table()
+        lighten()
         block = in_order(block, "doc_id", "text")
         grams, bounds = gram_sets(block["text"], k)
         short, where, _ = census.distinct(grams)
