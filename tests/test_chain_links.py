@@ -68,3 +68,10 @@ def test_empty_sides_and_missing_keys(spark):
     assert match_by_chain(outs, ins, origin()).collect() == [] and match_by_chain(events(spark), ins).collect() == []
     untimed = outs.withColumn("timestamp", F.lit(None).cast("timestamp"))
     assert match_by_chain(untimed, ins, origin()).collect() == []
+
+
+def test_only_wanted_columns_are_carried(spark):
+    outs, ins = frames(spark, [(True, "7", "base", 1, "o1"), (False, "7", "base", 4, "i1")])
+    wanted = match_by_chain(outs, ins, origin(), max_delay=5 * HOUR, columns=["src_event_id", "dst_event_id"])
+    assert wanted.columns == ["link_key_type", "link_key", "src_block_time", "src_event_id", "dst_block_time", "dst_event_id"]
+    assert [(r.src_event_id, r.dst_event_id) for r in wanted.collect()] == [("o1", "i1")]

@@ -29,9 +29,11 @@ DST = ["dst_chain", "dst_block_time", "dst_tx_hash", "dst_entity_id", "dst_event
 KEY = ["link_key_type", "link_key", "origin_chain", "destination_chain"]
 
 
-def _rows(events: DataFrame, side: str, origin: Column, destination: Column) -> DataFrame:
+def _rows(events: DataFrame, side: str, origin: Column, destination: Column, columns: list[str] | None) -> DataFrame:
     names = SRC if side == "src" else DST
     fields = ["chain", "timestamp", "tx_hash", "entity_id", "event_id", *(["token_out", "amount_out"] if side == "src" else [])]
+    if columns is not None:  # the time decides a delay
+        fields, names = zip(*[(f, n) for f, n in zip(fields, names) if f == "timestamp" or n in columns])
     return events.where((F.col("link_key") != "") & F.col("timestamp").isNotNull()).select(
         F.coalesce("link_key_type", F.lit("unknown")).alias("link_key_type"),
         "link_key",
@@ -51,16 +53,20 @@ def match_by_chain(
     destination: Column | None = None,
     max_delay: timedelta | None = None,
     bucket: timedelta = timedelta(days=1),
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Links of outs and ins, one to one; columns as of ``links.match``.
 
+    ``columns`` names those of the two sides that are wanted besides the key and the times: others
+    are not carried through the shuffles and the table between, which Catalyst can't prune.
+
     ``origin`` tells, of an in, the chain it comes from; ``destination``, of an out, the chain it
     goes to. Without one that chain takes no part; a row that should know it and doesn't (null)
     has no link. An out at the time of an in is before it; then event ids decide.
     """
     any_chain = F.lit("")
-    left = _rows(outs, "src", F.col("chain") if origin is not None else any_chain, destination if destination is not None else any_chain)
-    right = _rows(ins, "dst", origin if origin is not None else any_chain, F.col("chain") if destination is not None else any_chain)
+    left = _rows(outs, "src", F.col("chain") if origin is not None else any_chain, destination if destination is not None else any_chain, columns)
+    right = _rows(ins, "dst", origin if origin is not None else any_chain, F.col("chain") if destination is not None else any_chain, columns)
     src, dst = left.schema["row"].dataType.simpleString(), right.schema["row"].dataType.simpleString()
     left = left.withColumns({"src": F.col("row"), "dst": F.lit(None).cast(dst)}).drop("row")
     right = right.withColumns({"src": F.lit(None).cast(src), "dst": F.col("row")}).drop("row")

@@ -118,7 +118,8 @@ def links_by_chain(spark, sf):
     typed = {"link_key_type": F.lit("customer")}
     outs = outs.withColumns({"chain": F.col("link_key_type"), "link_key": F.col("entity_id")})
     rows = chain_links.match_by_chain(
-        outs.withColumns(typed), ins.withColumns(typed), origin=F.col("__origin"), max_delay=60 * DAY, bucket=90 * DAY
+        outs.withColumns(typed), ins.withColumns(typed), origin=F.col("__origin"), max_delay=60 * DAY, bucket=90 * DAY,
+        columns=["src_event_id", "dst_event_id"],
     )
     return rows.select("src_event_id", "dst_event_id")
 
