@@ -139,3 +139,12 @@ def test_block_tasks_drop_cached_pieces():
     lighten()
     assert not encode.pieces and not encode.pieces.old
     assert np.array_equal(encoder(path).encode("the words of a text"), before)
+
+
+def test_a_new_word_after_a_space_is_one_pre_token(monkeypatch):
+    one, searched = Encoder(public_tokenizers.path("byte_bpe_50k.json")), set()
+    cut = one.pre_tokens
+    monkeypatch.setattr(one, "pre_tokens", lambda piece: searched.add(piece) or cut(piece))
+    text = "Ofonenannt retionerheoure, losasíezmente ertzheitge. ñrrdoción ªº ǅ ÿɏ"
+    assert one.encode(text).tolist() == one.tokenizer.encode(text, add_special_tokens=False).ids
+    assert searched == {",", "."}
