@@ -93,3 +93,16 @@ def test_token_dimension(spark):
     assert TK.known_tokens(spark).count() == 13
     metadata, _ = _tables(spark)
     assert [(r.decimals, r.name) for r in TK.latest_metadata(metadata).collect()] == [(2, "new")]
+
+
+def test_legs_meet_their_metadata_once(spark):
+    legs = spark.range(3).selectExpr(
+        "id", "'c' AS chain", "element_at(array('known', 'unknown', '0xA0b86991c6218b36c1d19d4a2e9eb0ce3606eb48'), int(id) + 1) AS token_address",
+        "timestamp'2024-01-02' AS timestamp", "CAST(5000000 AS DECIMAL(38,0)) AS amount",
+    )
+    metadata = spark.sql("SELECT 'known' AS token_address, 'c' AS chain, 's' AS symbol, 6 AS decimals, 'n' AS name, timestamp'2024-01-01' AS inserted_at")
+    prices = spark.sql("SELECT explode(array('known', 'unknown')) AS token_address, 'c' AS chain, timestamp'2024-01-01' AS timestamp, 2 AS price_usd, timestamp'2024-01-01' AS inserted_at")
+    priced = E.price_legs(legs, metadata, prices)
+    assert [(r.price_ts is None, r.amount_usd) for r in priced.orderBy("id").collect()] == [(False, 10), (True, None), (True, 5)]
+    # stablecoins look up a few broadcast rows, so their legs are not shuffled a second time
+    assert "strategy=broadcast" in priced._jdf.queryExecution().analyzed().toString()

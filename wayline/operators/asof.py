@@ -61,7 +61,10 @@ def asof_join(
     right = right.where(usable).select(
         *on, F.col(right_ts).alias("__at"), F.struct(F.col(right_ts).alias("ts"), newest.alias("pick")).alias("__state")
     )
-    rows = left.select(*on, F.col(left_ts).alias("__at"), F.struct(*left.columns).alias("__row"))
+    # key and time travel once, beside the rest of the row
+    apart = {**{name: name for name in on}, left_ts: "__at"}
+    rest = [c for c in left.columns if c not in apart] or left.columns
+    rows = left.select(*on, F.col(left_ts).alias("__at"), F.struct(*rest).alias("__row"))
 
     sizes = left.select(*on).groupBy(*on).count().unionByName(right.groupBy(*on).count())
     crowded = materialize(
@@ -94,7 +97,8 @@ def asof_join(
     picked += [F.col(f"__found.pick.v{i}").alias(v) for i, v in enumerate(values)]
     if tolerance is not None:
         found = found.withColumn("__found", F.when(fresh, F.col("__found")))
-    return found.select("__row.*", *picked)
+    whole_row = [F.col(f"__row.`{c}`" if c in rest else apart[c]).alias(c) for c in left.columns]
+    return found.select(*whole_row, *picked)
 
 
 def _look_up(df: DataFrame, small: DataFrame, n_rows: int, keys: list[str]) -> DataFrame:

@@ -75,16 +75,15 @@ def token_legs(events: DataFrame) -> DataFrame:
 def price_legs(legs: DataFrame, metadata: DataFrame, prices: DataFrame, **asof_options) -> DataFrame:
     """Legs with ``decimals``, ``price_usd`` and ``amount_usd``.
 
-    Only legs whose value depends on a price take part in the as-of join:
-    stablecoins, by far the most frequent tokens, and unknown tokens do not.
+    Stablecoins, by far the most frequent tokens, take no part in the as-of
+    join, and look their metadata up among the stablecoins of the in-code list
+    alone.  Other legs meet theirs once; an unknown token has no price.
     """
     tokens = latest_metadata(metadata).select("chain", "token_address", "decimals")
-    known = legs.join(tokens, ["chain", "token_address"], "left")
     stable = is_stablecoin(F.col("token_address"))
-    needs_price = F.col("decimals").isNotNull() & ~stable
     right = prices.select("chain", "token_address", F.col("timestamp").alias("price_ts"), "price_usd", "inserted_at")
     priced = asof_join(
-        known.where(needs_price),
+        legs.where(~stable).join(tokens, ["chain", "token_address"], "left"),
         right,
         ["chain", "token_address"],
         "timestamp",
@@ -93,7 +92,10 @@ def price_legs(legs: DataFrame, metadata: DataFrame, prices: DataFrame, **asof_o
         newest_by="inserted_at",
         **asof_options,
     )
-    legs = priced.unionByName(known.where(~needs_price), allowMissingColumns=True)
+    known = F.col("decimals").isNotNull()
+    priced = priced.withColumns({c: F.when(known, F.col(c)) for c in ("price_ts", "price_usd")})
+    unpriced = legs.where(stable).join(F.broadcast(tokens.where(stable)), ["chain", "token_address"], "left")
+    legs = priced.unionByName(unpriced, allowMissingColumns=True)
     value = usd_value(F.col("amount"), F.col("token_address"), F.col("decimals"), F.col("price_usd"))
     return legs.withColumn("amount_usd", value)
 
