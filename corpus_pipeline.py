@@ -26,6 +26,9 @@ from wayline.llm.queries import MIX
 from wayline.llm.tables import fresh, table
 from wayline.session import materialize
 
+#: Token pieces in each of a worker's two cache generations.
+PIECES = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -80,8 +83,11 @@ def take_by_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of the documents in sequences.
+
+    An executor that ran the other stages has grown to what it may use: fewer pieces are cached.
+    """
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=PIECES)
 
 
 STAGES: list[tuple[str, Stage]] = [

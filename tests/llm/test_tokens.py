@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from wayline.llm import packing, token_files
 from wayline.llm.tables import lighten
-from wayline.llm.tokens import CUTS, Encoder, crc32, encoder
+from wayline.llm.tokens import CACHED, CUTS, Encoder, crc32, encoder, forget
 
 ODD = [
     None, "", "  a", "a <|endoftext|> b", "a  \n\n b\tc 'll don't", "É<|startoftext|> Σας İ x", "é ́a", "a\n\nb", "a b　c",
@@ -148,3 +148,15 @@ def test_a_new_word_after_a_space_is_one_pre_token(monkeypatch):
     text = "Ofonenannt retionerheoure, losasíezmente ertzheitge. ñrrdoción ªº ǅ ÿɏ"
     assert one.encode(text).tolist() == one.tokenizer.encode(text, add_special_tokens=False).ids
     assert searched == {",", "."}
+
+
+def test_a_worker_holds_two_generations_of_as_many_pieces_as_asked_for():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(60)]
+    before = [encoder(path).encode(t) for t in texts]
+    forget()
+    encode = encoder(path, cached=100)
+    for text, ids in zip(texts, before):
+        assert np.array_equal(encode.encode(text), ids)
+        assert len(encode.pieces) + len(encode.pieces.old) <= 2 * (100 + 3 * 50) and not getattr(encode.pieces.old, "old", None)
+    assert encoder(path).cached == CACHED

@@ -27,11 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.tables import arrow_schema, as_table
-from wayline.llm.tokens import crc32, encoder
+from wayline.llm.tables import arrow_schema, as_table, release
+from wayline.llm.tokens import CACHED, crc32, encoder
 
 #: Documents in a group, about: some 4 MB of ids.
 GROUP_DOCS = 4096
+#: Documents whose ids a task holds at a time.
+BATCH_DOCS = 1024
 #: Sequence ids of a group begin at its number times this.
 GROUP_IDS = 1 << 32
 
@@ -91,7 +93,7 @@ def assign(lengths: list[int], how: Packing) -> list[tuple[int, int, int, int, i
     return pieces
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, how: Packing, groups: int) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, how: Packing, groups: int, cached: int = CACHED) -> DataFrame:
     """A row per document: its group, full (crc32 of each whole capacity) and rest (ids of what is left)."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     place = F.monotonically_increasing_id()
@@ -100,9 +102,10 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, how:
     out = arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        release()
+        encode = encoder(tokenizer, cached)
         end = np.array([how.end_id], encode.dtype)
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_DOCS) for b in batches for at in range(0, b.num_rows, BATCH_DOCS)):
             sizes, full, rest = [], [], []
             for text in batch.column(1):
                 ids = np.concatenate([encode.encode(text.as_py()), end])
@@ -117,14 +120,14 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, how:
     return rows.withColumn("pack_group", F.pmod("deal", F.lit(groups))).drop("deal")
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", how: Packing = Packing(), group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", how: Packing = Packing(), group_docs: int = GROUP_DOCS, cached: int = CACHED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost.
 
     The documents are counted first, which reads no text. Texts are encoded where they are read;
-    ids of the rests are what is shuffled.
+    ids of the rests are what is shuffled. Fewer cached pieces cost time and leave memory to others.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    rows = tokenized(docs, id_col, text_col, tokenizer, how, groups)
+    rows = tokenized(docs, id_col, text_col, tokenizer, how, groups, cached)
     kind = rows.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
     out, capacity = arrow_schema(kinds), how.capacity

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wayline.llm.blocks import BLOCK_BYTES, in_blocks, in_order, pack
-from wayline.llm.tables import fresh, plus
+from wayline.llm.tables import fresh, lighten, plus
 from wayline.llm.words import U64, Words, covered, rolling, words_of
 
 #: Words whose labels come before the one of the whole window.
@@ -160,6 +160,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def send(block: pa.Table) -> pa.Table:
         """A row per group that the block has paths of."""
+        lighten()
         number = block[block_col][0].as_py()
         paths = block_paths(in_order(block, id_col, text_col)[text_col], length)
         edges = np.concatenate([[0], np.searchsorted(_prefix(paths.near, paths.rest), cuts), [len(paths.rest)]])
@@ -174,6 +175,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answered = to_arrow_schema(answer_kinds := T.StructType.fromDDL("block int, part int, flags binary"))
 
     def answer(group: pa.Table) -> pa.Table:
+        lighten()
         numbers = group["block"].to_pylist()
         blobs = []
         for i, (low, counts, rest) in enumerate(zip(group["low"], group["counts"], group["rest"])):
@@ -193,6 +195,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(block: pa.Table, found: pa.Table) -> pa.Table:
         if block.num_rows == 0:
             return out_schema.empty_table()
+        lighten()
         block = in_order(block, id_col, text_col)
         paths = block_paths(block[text_col], length)
         edges = np.concatenate([[0], np.searchsorted(_prefix(paths.near, paths.rest), cuts), [len(paths.rest)]])
