@@ -23,3 +23,11 @@ def test_rows_come_from_the_given_table(spark, build, table):
     rows = build(spark, SF)
     assert [Path(f).name for f in rows.inputFiles()] == [f"{table}.parquet"]
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["links_strict"])
+def test_hashes_are_shuffled_as_bytes(spark, name):
+    import workload
+
+    assert "unhex(" in workload.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
