@@ -26,7 +26,7 @@ def test_rows_come_from_the_given_table(spark, build, table):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["links_strict"])
+@pytest.mark.parametrize("name", ["links_strict", "next_events_after_arrival"])
 def test_hashes_are_shuffled_as_bytes(spark, name):
     import workload
 
