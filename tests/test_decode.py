@@ -213,3 +213,11 @@ def test_decode_has_no_shuffle_and_no_python(spark, n):
     df = spark.createDataFrame([log([D.TRANSFER, t(A), t(B)], "0x01")], LOG_SCHEMA)
     plan = D.decode_logs(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_a_signature_is_read_once_and_digits_take_one_projection(spark):
+    # the optimizer puts the whole of topic0 wherever it is named, and long generated methods run uncompiled
+    assert D.default_registry().lookup_sql().count("topic0") == 1
+    words = spark.createDataFrame([("f" * 64,)], "w string")
+    plan = H.with_digits(words, {"a": "w", "b": "w"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") == 1

@@ -3,8 +3,9 @@
 A uint256 is exact here without any Python worker: the word is cut into four
 64-bit parts, each read by ``conv``, and recombined in limbs of 18 decimal
 digits, which keeps every intermediate inside DECIMAL(38,0).  The carries make
-one limb depend on the one below, so the steps are separate projections: one
-nested expression would repeat itself until the generated code is refused.
+one limb depend on the one below, so each step is a lambda over the one before:
+one nested expression would repeat itself until the generated code is refused,
+and projections for all steps make a method too long for the JVM to compile.
 """
 
 from __future__ import annotations
@@ -86,59 +87,45 @@ def with_digits(
     value: a negative int256 is its inverted word plus one.
     """
     increments = increments or {}
-    original = df.columns
-
-    def name(new: str, step: str, index: int) -> str:
-        return f"__{new}_{step}{index}"
-
-    def add(columns: dict[str, str]) -> None:
-        nonlocal df
-        kept = [c for c in df.columns if c not in columns]
-        df = df.selectExpr(*[f"`{c}`" for c in kept], *[f"{e} AS `{c}`" for c, e in columns.items()])
-
-    # most values are short; a null part skips all of the limb arithmetic
-    add({f"__{n}_wide": f"if(startswith({w}, '{'0' * (64 - NARROW)}'), NULL, {w})" for n, w in words.items()})
-    add({name(n, "part", i): _part(f"__{n}_wide", i) for n in words for i in range(4)})
-    add(
-        {
-            name(new, "sum", limb): _limb_sum(
-                [name(new, "part", i) for i in range(4)], limb, None if limb else increments.get(new)
-            )
-            for new in words
-            for limb in range(LIMBS)
-        }
-    )
+    return df.selectExpr("*", *[f"{_digits(word, increments.get(new))} AS `{new}`" for new, word in words.items()])
+
+
+def _wide_digits(word: str, increment: str | None) -> str:
+    """SQL for the digits of any word, by limbs.
+
+    Each step is a lambda over the one value of the step before.
+    """
+    parts = {f"p{i}": _part(word, i) for i in range(4)} | {"more": increment or "0"}
+    value = f"array({_struct(parts)})"
+    sums = {f"s{limb}": _limb_sum([f"x.p{i}" for i in range(4)], limb, None if limb else "x.more") for limb in range(LIMBS)}
+    value = f"transform({value}, x -> {_struct(sums)})"
     for limb in range(LIMBS - 1):
-        add({name(n, "low", limb): f"{name(n, 'sum', limb)} % CAST({LIMB} AS DECIMAL(20, 0))" for n in words})
-        add(
-            {
-                name(n, "sum", limb + 1): f"CAST({name(n, 'sum', limb + 1)} + CAST(({name(n, 'sum', limb)} - "
-                f"{name(n, 'low', limb)}) / CAST({LIMB} AS DECIMAL(20, 0)) AS DECIMAL(38, 0)) AS DECIMAL(38, 0))"
-                for n in words
-            }
+        low = f"x.s{limb} % CAST({LIMB} AS DECIMAL(20, 0))"
+        step = {f"low{i}": f"x.low{i}" for i in range(limb)} | {f"low{limb}": low}
+        step |= {f"s{i}": f"x.s{i}" for i in range(limb + 2, LIMBS)}
+        step[f"s{limb + 1}"] = (
+            f"CAST(x.s{limb + 1} + CAST((x.s{limb} - {low}) / CAST({LIMB} AS DECIMAL(20, 0)) AS DECIMAL(38, 0)) AS DECIMAL(38, 0))"
         )
-    padded = {
-        n: ", ".join(f"lpad(CAST({name(n, 'low', i)} AS STRING), 18, '0')" for i in reversed(range(LIMBS - 1)))
-        for n in words
-    }
-    digits = {n: f"ltrim('0', concat(CAST({name(n, 'sum', LIMBS - 1)} AS STRING), {low}))" for n, low in padded.items()}
-    return df.selectExpr(
-        *[f"`{c}`" for c in original],
-        *[f"{_digits(words[n], increments.get(n), wide)} AS `{n}`" for n, wide in digits.items()],
-    )
+        value = f"transform({value}, x -> {_struct(step)})"
+    low = ", ".join(f"lpad(CAST(x.low{i} AS STRING), 18, '0')" for i in reversed(range(LIMBS - 1)))
+    return f"transform({value}, x -> ltrim('0', concat(CAST(x.s{LIMBS - 1} AS STRING), {low})))[0]"
+
+
+def _struct(values: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f'{name!r}, {value}' for name, value in values.items())})"
 
 
-def _digits(word: str, increment: str | None, wide: str) -> str:
+def _digits(word: str, increment: str | None) -> str:
     """SQL for the digits: 64-bit values by ``conv`` alone, those of up to 31 hex
-    digits by one DECIMAL product, the rest from the limbs."""
+    digits by one DECIMAL product, only the rest from the limbs."""
     added = f" + {increment}" if increment else ""
     short = f"conv(right({word}, 16), 16, 10)"
     if increment:
         short = f"if({increment} = 0, {short}, CAST({_part(word, 0)}{added} AS STRING))"
     narrow = f"CAST(CAST({_part(word, 1)} * CAST({2**64} AS DECIMAL(20, 0)) AS DECIMAL(38, 0)) + {_part(word, 0)}{added} AS STRING)"
     return (
-        f"CASE WHEN startswith({word}, '{'0' * 48}') THEN {short} "
-        f"WHEN startswith({word}, '{'0' * (64 - NARROW)}') THEN {narrow} ELSE {wide} END"
+        f"CASE WHEN {word} IS NULL THEN NULL WHEN startswith({word}, '{'0' * 48}') THEN {short} "
+        f"WHEN startswith({word}, '{'0' * (64 - NARROW)}') THEN {narrow} ELSE {_wide_digits(word, increment)} END"
     )
 
 

@@ -268,20 +268,30 @@ class DecoderRegistry:
         by_topic: dict[str, list[RegistryEntry]] = {}
         for entry in self.entries:
             by_topic.setdefault(entry.decoder.topic0, []).append(entry)
-        branches = []
+        single, branches = {}, []
         for signature, entries in by_topic.items():
             name = repr(entries[0].decoder.name)
             if len(entries) > 1:
                 cases = [f"WHEN {_matches(e.address_pattern)} THEN {e.decoder.name!r}" for e in entries]
-                name = f"CASE WHEN address IS NULL THEN {name} {' '.join(cases)} END"
-            branches.append(f"WHEN {signature!r} THEN {name}")
-        return f"CASE topic0 {' '.join(branches)} END" if branches else "CAST(NULL AS STRING)"
+                branches.append(f"WHEN {signature!r} THEN CASE WHEN address IS NULL THEN {name} {' '.join(cases)} END")
+            else:
+                single[signature] = name
+        found = _constant(single, "topic0") if single else "CAST(NULL AS STRING)"
+        return f"CASE topic0 {' '.join(branches)} ELSE {found} END" if branches else found
 
     def lookup(self) -> Column:
         """``lookup_sql`` as a Column over ``topic0`` and ``address``."""
         return F.expr(self.lookup_sql())
 
 
+def _constant(values: dict[str, str], key: str) -> str:
+    """SQL for the constant of a key, null for other keys.
+
+    A CASE would repeat the key in each branch, with all that the optimizer puts in its place.
+    """
+    return f"try_element_at(map({', '.join(f'{name!r}, {value}' for name, value in values.items())}), {key})"
+
+
 def _matches(pattern: str) -> str:
     """SQL test of ``address`` against ``*``, an address, or a prefix and ``*``."""
     if pattern == "*":
@@ -342,11 +352,14 @@ def decode_logs(
     # all filters are tests of log columns, which keeps them small where the
     # optimizer pushes them to the scan
     topics = ", ".join(map(repr, registry.topic0s())) or "NULL"
-    rows = _add(logs.where(f"topic0 IN ({topics})"), {"__decoder": registry.lookup_sql()}).where(
-        f"__decoder IS NOT NULL "
-        f"AND {_TOPIC_COUNT} >= {_by_decoder({n: str(d.min_topics) for n, d in decoders.items()})} "
-        f"AND length(coalesce(data, '')) >= {_by_decoder({n: str(64 * d.min_words + 2 if d.min_words else 0) for n, d in decoders.items()})}"
-    )
+    rows = _add(logs.where(f"topic0 IN ({topics})"), {"__decoder": registry.lookup_sql()}).where("__decoder IS NOT NULL")
+    if decoders:
+        least_topics = {n: str(d.min_topics) for n, d in decoders.items()}
+        least_chars = {n: str(64 * d.min_words + 2 if d.min_words else 0) for n, d in decoders.items()}
+        rows = rows.where(
+            f"{_TOPIC_COUNT} >= {_constant(least_topics, '__decoder')} "
+            f"AND length(coalesce(data, '')) >= {_constant(least_chars, '__decoder')}"
+        )
     rows = _add(rows, _TOPICS)
     rows = _add(rows, _WORDS)
     rows = _add(rows, {"whole": "if(length(__digits) <= 64, lpad(__digits, 64, '0'), NULL)"})
