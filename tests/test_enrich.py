@@ -106,3 +106,20 @@ def test_legs_meet_their_metadata_once(spark):
     assert [(r.price_ts is None, r.amount_usd) for r in priced.orderBy("id").collect()] == [(False, 10), (True, None), (True, 5)]
     # stablecoins look up a few broadcast rows, so their legs are not shuffled a second time
     assert "strategy=broadcast" in priced._jdf.queryExecution().analyzed().toString()
+
+
+def test_metadata_of_both_sides(spark):
+    usdc = "0xA0b86991c6218b36c1d19d4a2e9eb0ce3606eb48"
+    events = spark.createDataFrame(
+        [(1, "c", "known", None), (2, "c", usdc, "known"), (3, "c", "unknown", usdc), (4, "d", "known", usdc), (5, None, None, "unknown")],
+        "id int, chain string, token_in string, token_out string",
+    )
+    metadata = spark.sql(
+        f"SELECT t.*, 's' AS symbol, 'n' AS name, timestamp'2024-01-01' AS inserted_at FROM VALUES ('known', 'c', 6), ('{usdc}', 'c', 7) AS t(token_address, chain, decimals)"
+    )
+    rows = E.with_metadata(events, metadata)
+    assert rows.columns == [*events.columns, "decimals_in", "decimals_out"]
+    found = [(r.id, r.decimals_in, r.decimals_out) for r in rows.orderBy("id").collect()]
+    assert found == [(1, 6, None), (2, 7, 6), (3, None, 7), (4, None, None), (5, None, None)]
+    # stablecoins and missing tokens look up a few broadcast rows, so their events are not shuffled
+    assert "strategy=broadcast" in rows._jdf.queryExecution().analyzed().toString()

@@ -41,18 +41,24 @@ def pending_events(
 
 
 def with_metadata(events: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Add ``decimals_in`` and ``decimals_out``, null where a token is unknown."""
+    """Add ``decimals_in`` and ``decimals_out``, null where a token is unknown.
+
+    Events whose token is a stablecoin or null meet the stablecoins of the in-code
+    list alone, so only the others move when the tokens are too many to broadcast.
+    """
     tokens = latest_metadata(metadata)
-    for side in ("in", "out"):
+    for side in ("out", "in"):
         one = tokens.select(
             F.col("chain").alias("__chain"),
             F.col("token_address").alias("__token"),
             F.col("decimals").alias(f"decimals_{side}"),
         )
-        events = events.join(
-            one, (F.col("chain") == F.col("__chain")) & (F.col(f"token_{side}") == F.col("__token")), "left"
-        ).drop("__chain", "__token")
-    return events
+        few = F.col(f"token_{side}").isNull() | is_stablecoin(F.col(f"token_{side}"))
+        match = (F.col("chain") == F.col("__chain")) & (F.col(f"token_{side}") == F.col("__token"))
+        near = events.where(few).join(F.broadcast(one.where(is_stablecoin(F.col("__token")))), match, "left")
+        events = events.where(~few).join(one, match, "left").unionByName(near).drop("__chain", "__token")
+    decimals = ("decimals_in", "decimals_out")
+    return events.select(*[c for c in events.columns if c not in decimals], *decimals)
 
 
 def token_legs(events: DataFrame) -> DataFrame:

@@ -113,7 +113,10 @@ def events_to_price(spark, sf):
     f"WITH {TRADES_SQL} SELECT event_id, decimals AS decimals_in, NULL::INTEGER AS decimals_out FROM tr LEFT JOIN m ON m.token = token_in",
 )
 def metadata_join(spark, sf):
-    return E.with_metadata(trades(spark, sf), part_metadata(spark, sf)).select("event_id", "decimals_in", "decimals_out")
+    # the hash travels as bytes, half the room of its hex digits
+    events = trades(spark, sf).withColumn("event_id", F.unhex("event_id"))
+    rows = E.with_metadata(events, part_metadata(spark, sf))
+    return rows.select(F.lower(F.hex("event_id")).alias("event_id"), "decimals_in", "decimals_out")
 
 
 @query(
