@@ -95,3 +95,12 @@ def test_equals_the_batch_match_where_outs_come_first(spark, tmp_path):
     batch = frame(spark, outs + ins)
     links = match(batch.where("is_out"), batch.where("not is_out")).collect()
     assert [x for x in got if x[2]] == sorted([(x.link_key, x.src_event_id, x.dst_event_id) for x in links], key=str)
+
+
+def test_keys_share_the_calls_to_the_state_store(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(r.random() < 0.6, f"k{r.randint(0, 40)}", r.randint(0, 300), f"e{i:03d}") for i in range(200)]
+    rows.sort(key=lambda x: x[2])
+    batches = [rows[:100], rows[100:]]
+    got = run(spark, tmp_path, batches, late=timedelta(minutes=5), max_delay=timedelta(minutes=90), groups=2)
+    assert got == brute(rows, 90)

@@ -1,7 +1,7 @@
 """Continuous match of transfers: a later out replaces a pending one, an out without an in is given out in time.
 
-State is kept by link key: what has arrived but not been reached by the watermark, the out that
-is pending, and the first in that came before any out. Rows may arrive in any order within the
+State is kept by link key, many keys to a group: what has arrived but not been reached by the watermark,
+the out that is pending, and the first in that came before any out. Rows may arrive in any order within the
 watermark's delay; they take effect in order of time once the watermark has passed them, so the
 links don't depend on how the rows fell into batches.
 
@@ -11,24 +11,26 @@ out with a null far side once `max_delay` has passed; a waiting in is then forgo
 outs of a key come before its ins this is the batch match: last out, first in. Where a key is
 used again after its link, the batch match keeps one link and this one makes another.
 
-Rows that arrive behind the watermark are dropped by Spark. A key's rows meet in one task, as
-their order decides; its state lies in RocksDB and holds what the watermark has not passed.
+Rows that arrive behind the watermark are dropped by Spark. A group's rows meet in one task, as
+a key's order decides; its state lies in RocksDB and holds what the watermark has not passed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import astuple, dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayline.functions.scalars import seconds
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_SIDE = "{0}_ts bigint, {0}_event string, {0}_entity string"
+_KINDS = {"is_out": bool, "ts": "int64"}
 LINKS = "link_key string, src bigint, src_entity_id string, src_event_id string, dst bigint, dst_entity_id string, dst_event_id string"
 
 
@@ -89,58 +91,78 @@ class Held:
 
 
 class LinkMatcher(StatefulProcessor):
+    """State of a group of link keys, as JSON text: a call to the state store, and a row passed to it, cost far more than the text."""
+
     def __init__(self, max_delay: int) -> None:
         self.max_delay = max_delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.inbox = handle.getListState("inbox", "is_out boolean, ts bigint, event string, entity string")
-        self.held = handle.getValueState("held", f"{_SIDE.format('out')}, {_SIDE.format('in')}, linked_until bigint")
+        self.inbox = handle.getListState("inbox", "arrived string")  # a list of rows each batch
+        self.held = handle.getValueState("held", "by_key string")
 
-    def _advance(self, key: tuple, arrived: list[tuple], watermark_ms: int) -> Iterator[Row]:
+    def _advance(self, arrived: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
         """Take what the watermark has passed, keep the rest, and ask to be called for what comes next."""
         now = watermark_ms * 1000
-        waiting = [tuple(x) for x in self.inbox.get()] + arrived if self.inbox.exists() else arrived
+        stored, known = self.inbox.exists(), self.held.exists()
+        waiting = [tuple(x) for batch in self.inbox.get() for x in json.loads(batch[0])] if stored else []
+        waiting += arrived
+        held = {key: Held(*values) for key, values in json.loads(self.held.get()[0]).items()} if known else {}
         # a millisecond is passed when the watermark is beyond it
-        passed = sorted((x for x in waiting if x[1] < now), key=lambda x: (x[1], x[2] or ""))
-        left = [x for x in waiting if x[1] >= now]
-        held = Held(*self.held.get()) if self.held.exists() else Held()
+        passed = sorted((x for x in waiting if x[2] < now), key=lambda x: (x[2], x[3] or ""))
+        left = [x for x in waiting if x[2] >= now]
         links = []
-        for is_out, ts, event, entity in passed:
-            links += held.take(is_out, ts, event, entity, self.max_delay)
-        links += held.expire(now, self.max_delay)
+        for key, is_out, ts, event, entity in passed:
+            links += [(key, *x) for x in held.setdefault(key, Held()).take(is_out, ts, event, entity, self.max_delay)]
+        for key, one in held.items():
+            links += [(key, *x) for x in one.expire(now, self.max_delay)]
+        kept = {key: one for key, one in held.items() if one != Held()}
         if left:
-            self.inbox.put(left)
-        else:
+            self.inbox.put([(json.dumps(left),)])
+        elif stored:
             self.inbox.clear()
-        if held == Held():
+        if kept:
+            self.held.update((json.dumps({key: astuple(one) for key, one in kept.items()}),))
+        elif known:
             self.held.clear()
-        else:
-            self.held.update(astuple(held))
-        times = [x[1] + 1 for x in left] + [t for t in [held.next_time(self.max_delay)] if t is not None]
+        self._call_at([x[2] + 1 for x in left] + [one.next_time(self.max_delay) for one in kept.values()], watermark_ms)
+        if links:
+            # objects, as a column of numbers with nulls would become one of floats
+            yield pd.DataFrame(links, columns=[c.split()[0] for c in LINKS.split(", ")], dtype=object)
+
+    def _call_at(self, times: list[int], watermark_ms: int) -> None:
+        """A timer for the first of the times."""
         wanted = max(min(times) // 1000 + 1, watermark_ms + 1) if times else None
         if wanted is not None and wanted not in set(self.handle.listTimers()):
             self.handle.registerTimer(wanted)
-        for src, src_entity, src_event, dst, dst_entity, dst_event in links:
-            yield Row(link_key=key[0], src=src, src_entity_id=src_entity, src_event_id=src_event, dst=dst, dst_entity_id=dst_entity, dst_event_id=dst_event)
 
-    def handleInputRows(self, key: tuple, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        arrived = [(r["is_out"], r["ts"], r["event_id"], r["entity_id"]) for r in rows]
-        yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key: tuple, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["link_key", "is_out", "ts", "event_id", "entity_id"]
+        arrived = [x for df in rows for x in zip(*[df[c].astype(_KINDS.get(c, object)).tolist() for c in columns])]
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        if min(x[2] for x in arrived) >= watermark_ms * 1000:
+            # nothing to take yet; what waits from before has its timer
+            self.inbox.appendValue((json.dumps(arrived),))
+            self._call_at([x[2] + 1 for x in arrived], watermark_ms)
+        else:
+            yield from self._advance(arrived, watermark_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs())
 
 
-def match_continuous(outs: DataFrame, ins: DataFrame, late: timedelta = timedelta(hours=1), max_delay: timedelta = timedelta(days=7)) -> DataFrame:
+def match_continuous(outs: DataFrame, ins: DataFrame, late: timedelta = timedelta(hours=1), max_delay: timedelta = timedelta(days=7), groups: int = 4096) -> DataFrame:
     """link_key, then time, entity and event of the source and of the destination.
 
     The query that runs it needs `STATE_STORE` as its state store (`jobs.run_available(..., state_store=STATE_STORE)`).
+    Keys are dealt by hash to `groups`, which a stream fixes at its first start. A batch reads and writes the whole
+    state of each group whose time has come: raise the number with the keys that are held.
     """
     rows = [df.select("link_key", "timestamp", "event_id", "entity_id", F.lit(is_out).alias("is_out")) for df, is_out in ((outs, True), (ins, False))]
     both = rows[0].unionByName(rows[1]).where(F.col("link_key") != "")
     both = both.withWatermark("timestamp", f"{seconds(late)} seconds").withColumn("ts", F.unix_micros("timestamp"))
-    found = both.groupBy("link_key").transformWithState(
+    both = both.withColumn("group", F.pmod(F.xxhash64("link_key"), F.lit(groups)).cast("int"))
+    found = both.groupBy("group").transformWithStateInPandas(
         statefulProcessor=LinkMatcher(round(seconds(max_delay) * 1_000_000)), outputStructType=LINKS, outputMode="Append", timeMode="EventTime"
     )
     return found.select(
