@@ -75,3 +75,24 @@ def test_only_wanted_columns_are_carried(spark):
     wanted = match_by_chain(outs, ins, origin(), max_delay=5 * HOUR, columns=["src_event_id", "dst_event_id"])
     assert wanted.columns == ["link_key_type", "link_key", "src_block_time", "src_event_id", "dst_block_time", "dst_event_id"]
     assert [(r.src_event_id, r.dst_event_id) for r in wanted.collect()] == [("o1", "i1")]
+
+
+@pytest.mark.parametrize("seed,bucket,slice_rows", [(6, 3, 0), (7, 5, 60), (8, 30, 60), (9, 1, 260)])
+def test_crowded_keys_are_cut_and_others_stay_whole(spark, seed, bucket, slice_rows):
+    r = random.Random(seed)
+    rows = [(r.random() < 0.5, r.choice(["1", "2", "hot", "hot", "hot"]), r.choice(["base", "base", "arb", None]), r.randint(0, 240), f"e{i:03d}") for i in range(260)]
+    outs, ins = frames(spark, rows)
+    links = match_by_chain(outs, ins, origin(), max_delay=20 * HOUR, bucket=bucket * HOUR, slice_rows=slice_rows)
+    pairs = [(r.src_event_id, r.dst_event_id) for r in links.collect()]
+    assert len(set(pairs)) == len(pairs) and set(pairs) == brute(rows, 20)
+    assert bool(links.inputFiles()) == (slice_rows < 260)
+
+
+def test_a_row_is_shuffled_once_and_its_id_travels_once(spark):
+    outs, ins = frames(spark, [(True, "7", "base", 1, "o1"), (False, "7", "base", 4, "i1")])
+    links = match_by_chain(outs, ins, origin(), columns=["src_event_id", "dst_event_id"])
+    assert not links.inputFiles()  # no table between
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    wide = match_by_chain(outs, ins, origin()).collect()
+    assert [(r.src_event_id, r.dst_event_id, r.src_entity_id, r.dst_entity_id, r.dst_chain) for r in wide] == [("o1", "i1", "0xa", "0xb", "dst")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,24 @@ from wayline.session import materialize
 
 SLICE_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000  # counted before a broadcast, a shuffled join beyond
+CELLS = 65_536
+
+
+def _cell(on: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(CELLS)).cast("int")
+
+
+def crowded_cells(rows: DataFrame, on: list[str], most: int) -> list[int]:
+    """Hash cells of keys that hold more than ``most`` rows: no key of another cell does.
+
+    Rows are counted by cell, so a task shuffles a row a cell, however many keys there are.
+    """
+    counts = rows.select(_cell(on).alias("cell")).groupBy("cell").count()
+    return sorted(r["cell"] for r in counts.where(F.col("count") > most).collect())
+
+
+def in_cells(on: list[str], cells: list[int]) -> Column:
+    return _cell(on).isin(cells)
 
 
 def asof_join(

@@ -114,16 +114,17 @@ SELECT src_event_id, event_id AS dst_event_id FROM p WHERE d = -1 AND ts <= src_
 )
 def links_by_chain(spark, sf):
     # the customer is the key and the order's priority its origin chain: both repeat
-    outs, ins = order_outs(spark, sf), lineitem_ins(spark, sf)
+    # ids travel as bytes, the hash of a line item in half the room of its hex digits
+    outs, ins = order_outs(spark, sf), lineitem_ins(spark, sf).withColumn("event_id", F.unhex("event_id"))
     owners = outs.select("link_key", F.col("entity_id").alias("__owner"), F.col("link_key_type").alias("__origin"))
     ins = ins.join(owners, "link_key").withColumn("link_key", F.col("__owner"))
     typed = {"link_key_type": F.lit("customer")}
-    outs = outs.withColumns({"chain": F.col("link_key_type"), "link_key": F.col("entity_id")})
+    outs = outs.withColumns({"chain": F.col("link_key_type"), "link_key": F.col("entity_id"), "event_id": F.col("event_id").cast("binary")})
     rows = chain_links.match_by_chain(
         outs.withColumns(typed), ins.withColumns(typed), origin=F.col("__origin"), max_delay=60 * DAY, bucket=90 * DAY,
         columns=["src_event_id", "dst_event_id"],
     )
-    return rows.select("src_event_id", "dst_event_id")
+    return rows.select(F.col("src_event_id").cast("string").alias("src_event_id"), F.lower(F.hex("dst_event_id")).alias("dst_event_id"))
 
 
 @query(
