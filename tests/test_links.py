@@ -66,3 +66,13 @@ def test_sample_limits_before_the_shuffle(spark):
     sample = L.sample_links(L.match(outs, ins))
     assert sample.count() == 50
     assert "WindowGroupLimit" in sample._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_wanted_columns_of_the_sides(spark):
+    outs, ins = events(spark, out("o1", "k1", "2024-01-01T12:00")), events(spark, into("i1", "k1", "2024-01-01T12:30"))
+    links = L.match(outs, ins, columns=["src_entity_id", "dst_entity_id"])
+    assert links.columns == ["link_key", "src_entity_id", "dst_entity_id"]
+    assert [tuple(r) for r in links.collect()] == [("k1", "0xaaa", "0xdef")]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("tx_hash" in line for line in plan.splitlines() if "Aggregate" in line)
+    assert [r.link_key for r in L.pending(outs, ins, columns=["src_event_id"]).collect()] == []

@@ -1,3 +1,4 @@
+import random
 from datetime import timedelta
 
 import pytest
@@ -5,6 +6,7 @@ import pytest
 from tests.helpers import at, event, events
 from wayline.operators import funnel, trajectory as T
 from wayline.operators.trajectory import Filter
+from wayline.session import materialize
 from wayline.sinks import tables
 
 D2 = timedelta(days=2)
@@ -147,3 +149,54 @@ def test_stored_events_are_read_from_the_months_of_the_windows(spark, tmp_path):
     assert T.trajectory(stored, "no such", timedelta(days=1), timedelta(days=1)).collect() == []
     whole = T.trajectory(stored.drop("event_month"), "session_start", timedelta(days=1), timedelta(hours=12)).collect()
     assert sorted(r.event_id for r in whole) == ["a0", "a1", "far"]
+
+
+@pytest.mark.parametrize("include_anchor", [True, False])
+@pytest.mark.parametrize("filtered", [False, True])
+def test_across_equals_a_search_per_entity(spark, include_anchor, filtered):
+    r = random.Random(5)
+    who, where = ["0xa", "0xb", "0xc"], ["base", "arb"]
+    rows = [
+        event(f"e{i}", r.choice(["bridge_out", "swap", "bridge_in"]), f"2024-01-{r.randint(1, 20):02d}T{r.randint(0, 23):02d}:00",
+              entity=r.choice(who), chain=r.choice(where), link_key=r.choice(["k1", "k2", "k3", "", None]))
+        for i in range(60)
+    ]
+    rows += rows[:30]  # pulled twice
+    pairs = [("k1", "0xa", "0xa", "arb"), ("k2", "0xa", "0xb", "base"), ("k3", "0xb", "0xc", "arb"), ("k1", "0xb", "0xa", "base"), ("k2", "0xc", "0xb", "arb")]
+    filters = [Filter("event_type", "!=", "bridge_in")] if filtered else []
+    got = T.trajectory_across(events(spark, *rows), spark.createDataFrame(pairs, LINK), "bridge_out", 6 * D2, D2, filters=filters, include_anchor=include_anchor)
+    expected = []
+    for root in who:
+        at = max(e["timestamp"] for e in rows if e["entity_id"] == root and e["event_type"] == "bridge_out")
+        near = [e for e in rows if e["entity_id"] == root and at - 6 * D2 <= e["timestamp"] <= at + D2]
+        near = [e for e in near if (include_anchor or e["event_type"] != "bridge_out") and not (filtered and e["event_type"] == "bridge_in")]
+        expected += [(root, e["event_id"]) for e in near]
+        sides = {(p[2], p[3]) for e in near if e["event_type"] == "bridge_out" for p in pairs if p[0] == e["link_key"] and p[1] == root}
+        lo, hi = min(e["timestamp"] for e in near), max(e["timestamp"] for e in near)
+        far = {e["event_id"] for e in rows if (e["entity_id"], e["chain"]) in sides and lo <= e["timestamp"] <= hi}
+        expected += [(root, e) for e in far - {e["event_id"] for e in near}]
+    assert sorted((r.query_entity_id, r.event_id) for r in got.collect()) == sorted(expected)
+
+
+def test_the_near_side_is_written_without_its_events(spark, monkeypatch):
+    written = {}
+
+    def seen(df, label):
+        written[label] = df.columns
+        return materialize(df, label)
+
+    monkeypatch.setattr(T, "materialize", seen)
+    df = events(spark, event("a", "bridge_out", "2024-01-15T12:00", link_key="k"), event("b", "swap", "2024-01-15T12:00", entity="0xb"))
+    links = spark.createDataFrame([("k", "0xaaa", "0xb", "base")], LINK)
+    found = T.trajectory_across(df, links, "bridge_out", D2, D2)
+    assert ids(found) == ["a", "b"] and found.columns == ["query_entity_id", "query_entity_type", "anchor_ts", *df.columns]
+    assert "event_id" not in written["near-side"]
+
+
+def test_stored_events_are_followed_across(spark, tmp_path):
+    rows = [event("a", "bridge_out", "2024-03-30T12:00", link_key="k"), event("b", "swap", "2024-04-01T11:00")]
+    rows += [event(f"f{m}", "swap", f"2024-0{m}-01T08:00", entity="0xb") for m in range(1, 8)]
+    tables.write_table(tables.event_rows(events(spark, *rows)), str(tmp_path / "t"), "canonical_events")
+    links = spark.createDataFrame([("k", "0xaaa", "0xb", "base")], LINK)
+    found = T.trajectory_across(tables.read_table(spark, str(tmp_path / "t")), links, "bridge_out", D2, D2)
+    assert ids(found) == ["a", "f4", "b"]

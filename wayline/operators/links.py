@@ -14,21 +14,24 @@ from wayline.schema import BRIDGE_LINKS, conform
 ORDER = ("timestamp", "event_id")
 
 
-def _side(events: DataFrame, fields: dict[str, Column], order_by: tuple[str, ...], keep_last: bool) -> DataFrame:
+def _side(
+    events: DataFrame, fields: dict[str, Column], order_by: tuple[str, ...], keep_last: bool, columns: list[str] | None
+) -> DataFrame:
     """One event per link key, by an aggregate: a key with very many events
     (a chain id used as key) is reduced before it is shuffled."""
     order = F.struct(*[F.col(c) for c in order_by])
-    row = F.struct(*[column.alias(name) for name, column in fields.items()])
+    wanted = {name: column for name, column in fields.items() if columns is None or name in columns}
+    row = F.struct(*[column.alias(name) for name, column in wanted.items()] or [F.lit(True)])
     pick = F.max if keep_last else F.min
     return (
         events.where(F.col("link_key") != "")
         .groupBy("link_key")
         .agg(pick(F.struct(order.alias("o"), row.alias("row"))).alias("__side"))
-        .select("link_key", "__side.row.*")
+        .select("link_key", *[F.col(f"__side.row.{name}").alias(name) for name in wanted])
     )
 
 
-def last_outs(outs: DataFrame, order_by: tuple[str, ...] = ORDER) -> DataFrame:
+def last_outs(outs: DataFrame, order_by: tuple[str, ...] = ORDER, columns: list[str] | None = None) -> DataFrame:
     """The out each link key stands for: a later one replaces an earlier one."""
     return _side(
         outs,
@@ -44,10 +47,11 @@ def last_outs(outs: DataFrame, order_by: tuple[str, ...] = ORDER) -> DataFrame:
         },
         order_by,
         keep_last=True,
+        columns=columns,
     )
 
 
-def first_ins(ins: DataFrame, order_by: tuple[str, ...] = ORDER) -> DataFrame:
+def first_ins(ins: DataFrame, order_by: tuple[str, ...] = ORDER, columns: list[str] | None = None) -> DataFrame:
     """The in each link key is matched with: the first one."""
     return _side(
         ins,
@@ -60,25 +64,31 @@ def first_ins(ins: DataFrame, order_by: tuple[str, ...] = ORDER) -> DataFrame:
         },
         order_by,
         keep_last=False,
+        columns=columns,
     )
 
 
 def reconcile(
-    outs: DataFrame, ins: DataFrame, out_order: tuple[str, ...] = ORDER, in_order: tuple[str, ...] = ORDER
+    outs: DataFrame,
+    ins: DataFrame,
+    out_order: tuple[str, ...] = ORDER,
+    in_order: tuple[str, ...] = ORDER,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Every registered out with its in, if any, and ``is_matched``.
 
     Both sides are unique per key, so the join emits no pairs within a key.
-    Time and chains take no part: an in may precede its out.
+    Time and chains take no part: an in may precede its out.  ``columns`` names
+    those of the two sides that are wanted: Catalyst can't prune the others.
     """
-    ins = first_ins(ins, in_order).withColumn("__in", F.lit(True))
-    joined = last_outs(outs, out_order).join(ins, "link_key", "left")
+    ins = first_ins(ins, in_order, columns).withColumn("__in", F.lit(True))
+    joined = last_outs(outs, out_order, columns).join(ins, "link_key", "left")
     return joined.withColumn("is_matched", F.col("__in").isNotNull()).drop("__in")
 
 
-def match(outs: DataFrame, ins: DataFrame, **order) -> DataFrame:
+def match(outs: DataFrame, ins: DataFrame, **options) -> DataFrame:
     """The completed links."""
-    return reconcile(outs, ins, **order).where("is_matched").drop("is_matched")
+    return reconcile(outs, ins, **options).where("is_matched").drop("is_matched")
 
 
 def pending(outs: DataFrame, ins: DataFrame, **order) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,8 @@ from wayline.session import constant_frame, materialize
 
 Span = timedelta | float
 
+QUERY = ["query_entity_id", "query_entity_type"]
+
 _ROOTS = T.StructType(
     [T.StructField("entity_id", T.StringType()), T.StructField("entity_type", T.StringType())]
 )
@@ -96,6 +99,55 @@ def _in_order(df: DataFrame, ordered: bool) -> DataFrame:
     return df.orderBy("query_entity_id", "query_entity_type", "timestamp", "event_id")
 
 
+def _windows(
+    events: DataFrame, anchor: str, before: Span, after: Span, roots: DataFrame | Iterable[str] | None, edges: DataFrame | None
+) -> DataFrame:
+    """Window of each requested entity, one row; written first if events lie in month folders."""
+    queries = _queries(roots, edges, events)
+    found = anchors(events, anchor).withColumnRenamed("entity_id", "__id")
+    if queries is None:
+        found = found.select(
+            F.col("__id").alias("query_entity_id"),
+            F.lit("wallet").alias("query_entity_type"),
+            "__id",
+            "anchor_ts",
+        )
+    else:
+        found = queries.join(found, "__id")
+    found = found.select(
+        *QUERY,
+        "__id",
+        "anchor_ts",
+        shift(F.col("anchor_ts"), -seconds(before)).alias("__from"),
+        shift(F.col("anchor_ts"), after).alias("__until"),
+    )
+    return materialize(found, "anchors") if MONTH in events.columns else found
+
+
+def _shown(anchor: str, filters: Iterable[Filter], include_anchor: bool, exclude_internal: bool) -> list[Column]:
+    """What an event in a window must meet besides."""
+    conditions = [f.column() for f in filters]
+    if not include_anchor:
+        conditions.append(F.col("event_type") != anchor)
+    if exclude_internal:
+        conditions.append(F.col("event_type") != "swap_internal")
+    return conditions
+
+
+def _of_roots(events: DataFrame, roots: DataFrame | Iterable[str] | None, edges: DataFrame | None) -> DataFrame:
+    if isinstance(roots, (list, tuple, set)) and edges is None:
+        return events.where(F.col("entity_id").isin(sorted(set(roots))))
+    return events
+
+
+def _inside(events: DataFrame, windows: DataFrame, *conditions: Column) -> DataFrame:
+    """Each event with the windows of its entity that it lies in."""
+    if MONTH in events.columns:
+        events = _in_months(events, windows)
+    inside = (F.col("entity_id") == F.col("__id")) & F.col("timestamp").between(F.col("__from"), F.col("__until"))
+    return events.join(windows, reduce(lambda a, b: a & b, conditions, inside))
+
+
 def trajectory(
     events: DataFrame,
     anchor: str,
@@ -124,44 +176,11 @@ def trajectory(
     month folders are read from the months that some window touches: these are
     known before the scan is planned, so the anchors are written first.
     """
-    conditions = [f.column() for f in filters]
-    if isinstance(roots, (list, tuple, set)) and edges is None:
-        events = events.where(F.col("entity_id").isin(sorted(set(roots))))
-    queries = _queries(roots, edges, events)
-    found = anchors(events, anchor).withColumnRenamed("entity_id", "__id")
-    if queries is None:
-        found = found.select(
-            F.col("__id").alias("query_entity_id"),
-            F.lit("wallet").alias("query_entity_type"),
-            "__id",
-            "anchor_ts",
-        )
-    else:
-        found = queries.join(found, "__id")
-    found = found.select(
-        "query_entity_id",
-        "query_entity_type",
-        "__id",
-        "anchor_ts",
-        shift(F.col("anchor_ts"), -seconds(before)).alias("__from"),
-        shift(F.col("anchor_ts"), after).alias("__until"),
-    )
-    rows = events
-    if MONTH in events.columns:
-        found = materialize(found, "anchors")
-        rows = _in_months(rows, found)
-    if not include_anchor:
-        rows = rows.where(F.col("event_type") != anchor)
-    if exclude_internal:
-        rows = rows.where(F.col("event_type") != "swap_internal")
-    if conditions:
-        rows = rows.where(reduce(lambda a, b: a & b, conditions))
-    hits = rows.join(
-        found,
-        (F.col("entity_id") == F.col("__id")) & F.col("timestamp").between(F.col("__from"), F.col("__until")),
-    )
-    result = hits.select("query_entity_id", "query_entity_type", "anchor_ts", *[F.col(c) for c in events.columns])
-    return _in_order(result, ordered)
+    conditions = _shown(anchor, filters, include_anchor, exclude_internal)
+    events = _of_roots(events, roots, edges)
+    found = _windows(events, anchor, before, after, roots, edges)
+    hits = _inside(events, found, *conditions)
+    return _in_order(hits.select(*QUERY, "anchor_ts", *events.columns), ordered)
 
 
 def trajectory_across(
@@ -171,8 +190,12 @@ def trajectory_across(
     before: Span,
     after: Span,
     *,
+    roots: DataFrame | Iterable[str] | None = None,
+    edges: DataFrame | None = None,
+    filters: Iterable[Filter] = (),
+    include_anchor: bool = True,
+    exclude_internal: bool = False,
     ordered: bool = True,
-    **options,
 ) -> DataFrame:
     """A trajectory continued on the far side of the entity's transfers.
 
@@ -182,18 +205,24 @@ def trajectory_across(
     ``include_anchor`` do not apply to the added events; an event already there
     is not repeated.
 
-    The near side is needed for its bounds, its transfers, its identifiers and
-    the result, so it is written to the shared folder once.  Far sides are
-    reduced to distinct (entity, chain) per requested entity before they meet
-    the events, and only identifiers take part in the test for repeated events.
+    A first pass takes the times and link keys of the near side alone, which are
+    written to the shared folder once: they tell its bounds and its transfers.
+    Far sides are reduced to distinct (entity, chain) per requested entity.  The
+    windows of both sides then meet the events in one join, so whole events are
+    shuffled to their entity once, with the columns that are asked for.
     """
-    near = materialize(trajectory(events, anchor, before, after, ordered=False, **options), "near-side")
-    query = ["query_entity_id", "query_entity_type"]
-    bounds = near.groupBy(*query, "anchor_ts").agg(
+    conditions = _shown(anchor, filters, include_anchor, exclude_internal)
+    own = _of_roots(events, roots, edges)
+    found = _windows(own, anchor, before, after, roots, edges)
+    out_key = F.when((F.col("event_type") == "bridge_out") & (F.col("link_key") != ""), F.col("link_key"))
+    near = _inside(own.withColumn("__out_key", out_key), found, *conditions)
+    near = materialize(near.select(*QUERY, "anchor_ts", "__id", "timestamp", "__out_key"), "near-side")
+
+    bounds = near.groupBy(*QUERY, "anchor_ts", "__id").agg(
         F.min("timestamp").alias("__from"), F.max("timestamp").alias("__until")
     )
-    outs = near.where((F.col("event_type") == "bridge_out") & (F.col("link_key") != "")).select(
-        *query, "link_key", F.col("entity_id").alias("src_entity_id")
+    outs = near.where(F.col("__out_key").isNotNull()).select(
+        *QUERY, F.col("__out_key").alias("link_key"), F.col("__id").alias("src_entity_id")
     )
     far = (
         outs.distinct()
@@ -203,22 +232,22 @@ def trajectory_across(
             ),
             ["link_key", "src_entity_id"],
         )
-        .select(*query, F.col("dst_entity_id").alias("__id"), F.col("dst_chain").alias("__chain"))
+        .select(*QUERY, F.col("dst_entity_id").alias("__far_id"), F.col("dst_chain").alias("__chain"))
         .distinct()
-        .join(bounds, query)
+        .join(bounds, QUERY)
+    )
+    window = [*QUERY, "anchor_ts", "__from", "__until"]
+    windows = bounds.select(*window, "__id", F.lit(None).cast("string").alias("__chain"), F.lit(False).alias("__far")).unionByName(
+        far.select(*window, F.col("__far_id").alias("__id"), "__chain", F.lit(True).alias("__far"))
     )
     if MONTH in events.columns:
-        far = materialize(far, "far-sides")
-    there = _in_months(events, far) if MONTH in events.columns else events
-    added = there.join(
-        far,
-        (F.col("entity_id") == F.col("__id"))
-        & (F.col("chain") == F.col("__chain"))
-        & F.col("timestamp").between(F.col("__from"), F.col("__until")),
-    ).select(*near.columns)
-    seen = near.select(*query, "event_id").distinct()
-    added = added.dropDuplicates([*query, "event_id"]).join(seen, [*query, "event_id"], "left_anti")
-    return _in_order(near.unionByName(added), ordered)
+        windows = materialize(windows, "windows")
+    # all near events lie within their bounds
+    shown = reduce(lambda a, b: a & b, conditions, ~F.col("__far"))
+    hits = _inside(events, windows, shown | (F.col("__far") & (F.col("chain") == F.col("__chain"))))
+    again = W.partitionBy(*QUERY, "event_id").orderBy("__far")
+    rows = hits.withColumn("__nth", F.row_number().over(again)).where(~F.col("__far") | (F.col("__nth") == 1))
+    return _in_order(rows.select(*QUERY, "anchor_ts", *events.columns), ordered)
 
 
 def trajectory_index(events: DataFrame, anchor: str, before: Span, after: Span) -> DataFrame:

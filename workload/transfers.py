@@ -170,16 +170,21 @@ journey AS (
 
 
 def _across(spark, sf, **options):
-    outs, ins = order_outs(spark, sf), lineitem_ins(spark, sf)
-    return T.trajectory_across(
-        outs.unionByName(ins), L.match(outs, ins), "bridge_out", 180 * DAY, 30 * DAY, **options
-    )
+    # ids travel as bytes, the hash of a line item in half the room of its hex digits
+    outs = order_outs(spark, sf).withColumn("event_id", F.col("event_id").cast("binary"))
+    ins = lineitem_ins(spark, sf).withColumn("event_id", F.unhex("event_id"))
+    links = L.match(outs, ins, columns=["src_entity_id", "dst_entity_id", "dst_chain"])
+    return T.trajectory_across(outs.unionByName(ins), links, "bridge_out", 180 * DAY, 30 * DAY, **options)
 
 
 @query("trajectory_across", f"{ACROSS_SQL} SELECT query_entity_id, anchor_ts, event_id, event_type, \"timestamp\", entity_id, chain FROM journey")
 def trajectory_across(spark, sf):
     rows = _across(spark, sf, ordered=False)
-    return rows.select("query_entity_id", "anchor_ts", "event_id", "event_type", "timestamp", "entity_id", "chain")
+    is_out = F.col("event_type") == "bridge_out"
+    event_id = F.when(is_out, F.col("event_id").cast("string")).otherwise(F.lower(F.hex("event_id")))
+    return rows.withColumn("event_id", event_id).select(
+        "query_entity_id", "anchor_ts", "event_id", "event_type", "timestamp", "entity_id", "chain"
+    )
 
 
 @query(
