@@ -3,7 +3,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from wayline.operators import asof
 from wayline.operators.asof import asof_join, running_offset
+from wayline.session import materialize
 
 T0 = datetime(2024, 1, 1)
 
@@ -40,3 +42,27 @@ def test_running_offset(spark):
     df = spark.createDataFrame(rows, "g string, pos int, n int")
     for r in running_offset(df, ["g"], "pos", "n", "before", block=7).collect():
         assert r.before == sum(n for g, p, n in rows if g == r.g and p < r.pos)
+
+
+@pytest.mark.parametrize("slice_rows", [10**6, 900, 7])
+def test_facts_of_a_key_reach_all_its_rows(spark, slice_rows):
+    rng = random.Random(6)
+    left = [(i, rng.choice(["a", "a", "a", "b", "c", None]), T0 + timedelta(minutes=rng.randint(0, 3000))) for i in range(2000)]
+    left += [(2000 + i, k, None) for i, k in enumerate(["a", "b", None])]
+    right = [(rng.choice(["a", "b"]), T0 + timedelta(minutes=rng.randint(0, 3000)), float(i)) for i in range(200)]
+    facts = spark.createDataFrame([("a", 1, "x"), ("c", None, "z"), ("d", 4, "w"), (None, 5, "n")], "k string, n int, s string")
+    args = [spark.createDataFrame(left, "id int, k string, t timestamp"), spark.createDataFrame(right, "k string, pt timestamp, p double"), ["k"], "t", "pt", ["p"]]
+    rows = asof_join(*args, slice_rows=slice_rows, facts=facts).collect()
+    told = {"a": (1, "x"), "c": (None, "z")}
+    assert {(r.id, r.n, r.s) for r in rows} == {(i, *told.get(k, (None, None))) for i, k, _ in left} and len(rows) == len(left)
+    plain = asof_join(*args, slice_rows=slice_rows).collect()
+    assert {(r.id, r.pt, r.p) for r in rows} == {(r.id, r.pt, r.p) for r in plain}
+
+
+def test_keys_are_counted_by_cell_first(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(asof, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    left = spark.range(100).selectExpr("id", "id % 3 AS k", "timestamp_seconds(id) AS t")
+    right = spark.range(100).selectExpr("id % 3 AS k", "timestamp_seconds(id) AS pt", "id AS p")
+    assert asof_join(left, right, ["k"], "t", "pt", ["p"]).count() == 100 and written == []
+    assert asof_join(left, right, ["k"], "t", "pt", ["p"], slice_rows=50).count() == 100 and written == ["asof-crowded", "asof-grid"]

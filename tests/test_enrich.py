@@ -123,3 +123,23 @@ def test_metadata_of_both_sides(spark):
     assert found == [(1, 6, None), (2, 7, 6), (3, None, 7), (4, None, None), (5, None, None)]
     # stablecoins and missing tokens look up a few broadcast rows, so their events are not shuffled
     assert "strategy=broadcast" in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_legs_are_shuffled_once_for_price_and_metadata(spark):
+    df = events(spark, event("a", "swap", "2024-01-01T12:00", token_in="0xt", amount_in=150), event("b", "swap", "2024-01-01T13:00", token_in="0xu", amount_in=150))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        priced = E.price_legs(E.token_legs(df), *_tables(spark))
+        plan = priced._jdf.queryExecution().executedPlan().toString()
+        assert [(r.event_id, r.decimals, r.price_usd) for r in priced.orderBy("event_id").collect()] == [("a", 2, 2), ("b", None, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_updates_keep_ids_as_bytes(spark):
+    df = events(spark, event("00ff", "swap", "2024-01-01T12:00", token_in="0xt", amount_in=150)).withColumn("event_id", F.unhex("event_id"))
+    updates = E.enrichment_updates(df, *_tables(spark))
+    assert [bytes(r.event_id) for r in updates.collect()] == [b"\x00\xff"]
+    assert [r.amount_in_usd for r in E.apply_updates(df, updates).collect()] == [3]

@@ -31,3 +31,12 @@ def test_hashes_are_shuffled_as_bytes(spark, name):
     import workload
 
     assert "unhex(" in workload.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["links_by_chain", "trajectory_across", "updates_applied", "usd_updates", "price_asof"])
+def test_no_shuffle_carries_a_hash_as_text(spark, name):
+    import workload
+
+    plan = workload.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(sha2(" in plan and "[sha2(" not in plan and " sha2(" not in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,30 +46,33 @@ def asof_join(
     tolerance: timedelta | float | None = None,
     bucket: timedelta | float = timedelta(hours=1),
     slice_rows: int = SLICE_ROWS,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Each left row with ``values`` of the latest right row at or before it.
 
     Every left row comes out exactly once; the values are null when no right
     row matches, when a key is null, or when the match is older than
     ``tolerance``.  Right rows of one key and time count once: the one with the
-    greatest ``newest_by``, then the greatest values.
+    greatest ``newest_by``, then the greatest values.  ``facts`` are columns of a
+    key, one row each, which its left rows take along: they travel with the right
+    rows, so that left rows aren't shuffled a second time for them.
 
-    Rows are counted per key first.  A key with at most ``slice_rows`` rows is
-    one window group, after one shuffle.  A window over a crowded key would put
-    it into one task, so its time is cut into buckets, and a bucket into as many
-    slices as its left rows need:
+    Rows are counted first, by hash cell of the key, and by key within a crowded
+    cell only.  A key with at most ``slice_rows`` rows is one window group, after
+    one shuffle.  A window over a crowded key would put it into one task, so its
+    time is cut into buckets, and a bucket into as many slices as its left rows
+    need:
 
     1. count the left rows per (key, bucket) and take the last right row per
        (key, bucket), both by partial aggregation;
     2. over that small grid, at most one row per key and bucket, carry the last
        right row forward: what a bucket starts with;
-    3. the starting rows and the bucket's right rows go to each of its slices.
+    3. the starting rows, the bucket's right rows and the facts go to each of its slices.
 
     A slice is chosen by row hash and map partition, so identical copies of one
     row spread too, and a retried task places its rows as before.  The counts
     and the grid are written to the shared folder: building the plan runs them.
     """
-    place = ["__bucket", "__slice"]
     newest = F.struct(
         *([F.col(newest_by).alias("newest")] if newest_by else []),
         *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)],
@@ -79,34 +83,41 @@ def asof_join(
     right = right.where(usable).select(
         *on, F.col(right_ts).alias("__at"), F.struct(F.col(right_ts).alias("ts"), newest.alias("pick")).alias("__state")
     )
+    told = [] if facts is None else [c for c in facts.columns if c not in on]
+    if facts is not None:
+        known = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in on])
+        facts = facts.where(known).select(*on, F.struct(*told).alias("__fact"))
     # key and time travel once, beside the rest of the row
     apart = {**{name: name for name in on}, left_ts: "__at"}
     rest = [c for c in left.columns if c not in apart] or left.columns
     rows = left.select(*on, F.col(left_ts).alias("__at"), F.struct(*rest).alias("__row"))
 
-    sizes = left.select(*on).groupBy(*on).count().unionByName(right.groupBy(*on).count())
-    crowded = materialize(
-        sizes.groupBy(*on).agg(F.sum("count").alias("__n")).where(F.col("__n") > slice_rows).select(*on),
-        "asof-crowded",
-    )
-    n_crowded = crowded.count()
+    keys = left.select(*on).unionByName(right.select(*on))
+    cells = crowded_cells(keys, on, slice_rows)
+    n_crowded = 0
+    if cells:
+        sizes = keys.where(in_cells(on, cells)).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+        crowded = materialize(sizes.where(F.col("__n") > slice_rows).select(*on), "asof-crowded")
+        n_crowded = crowded.count()
     if n_crowded == 0:
-        whole = {name: F.lit(0) for name in place}
-        rows, states = rows.withColumns(whole), right.withColumns(whole)
+        place, states = [], right
     else:
-        rows, states = _cut(rows, right, on, crowded, n_crowded, int(seconds(bucket) * 1_000_000), slice_rows)
+        place = ["__bucket", "__slice"]
+        rows, states, facts = _cut(rows, right, facts, on, crowded, n_crowded, int(seconds(bucket) * 1_000_000), slice_rows)
 
     along = (
         W.partitionBy(*on, *place)
         .orderBy("__at", "__kind", "__state")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    found = (
-        rows.withColumn("__kind", F.lit(1))
-        .unionByName(states.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
-        .withColumn("__found", F.last("__state", ignorenulls=True).over(along))
-        .where(F.col("__kind") == 1)
+    found = rows.withColumn("__kind", F.lit(1)).unionByName(
+        states.withColumn("__kind", F.lit(0)), allowMissingColumns=True
     )
+    carried = {"__found": F.last("__state", ignorenulls=True).over(along)}
+    if facts is not None:  # without a time, they come before all rows of the key
+        found = found.unionByName(facts.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+        carried["__fact"] = F.last("__fact", ignorenulls=True).over(along)
+    found = found.withColumns(carried).where(F.col("__kind") == 1)
     fresh = F.lit(True)
     if tolerance is not None:
         limit = int(seconds(tolerance) * 1_000_000)
@@ -116,7 +127,7 @@ def asof_join(
     if tolerance is not None:
         found = found.withColumn("__found", F.when(fresh, F.col("__found")))
     whole_row = [F.col(f"__row.`{c}`" if c in rest else apart[c]).alias(c) for c in left.columns]
-    return found.select(*whole_row, *picked)
+    return found.select(*whole_row, *picked, *[F.col(f"__fact.`{c}`").alias(c) for c in told])
 
 
 def _look_up(df: DataFrame, small: DataFrame, n_rows: int, keys: list[str]) -> DataFrame:
@@ -133,8 +144,15 @@ def _look_up(df: DataFrame, small: DataFrame, n_rows: int, keys: list[str]) -> D
 
 
 def _cut(
-    rows: DataFrame, right: DataFrame, on: list[str], crowded: DataFrame, n_crowded: int, width: int, slice_rows: int
-) -> tuple[DataFrame, DataFrame]:
+    rows: DataFrame,
+    right: DataFrame,
+    facts: DataFrame | None,
+    on: list[str],
+    crowded: DataFrame,
+    n_crowded: int,
+    width: int,
+    slice_rows: int,
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Buckets and slices of the crowded keys; other keys stay whole."""
     micros = F.unix_micros("__at")
     bucket = F.when(F.col("__hit"), micros - F.pmod(micros, F.lit(width))).otherwise(F.lit(0))
@@ -165,9 +183,13 @@ def _cut(
         *cell, "__slices", F.col("__opening.ts").alias("__at"), F.col("__opening").alias("__state")
     )
     inside = series.join(grid.select(*cell, "__slices"), cell).select(*openings.columns)
-    states = openings.unionByName(inside).withColumn(
-        "__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
-    )
+    each_slice = F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
+    states = openings.unionByName(inside).withColumn("__slice", each_slice)
+    if facts is not None:
+        others = _look_up(facts, crowded, n_crowded, on).where(F.col("__hit").isNull()).drop("__hit")
+        others = others.withColumns({"__bucket": F.lit(0).cast("bigint"), "__slice": F.lit(0)})
+        facts = facts.join(grid.select(*cell, "__slices"), on).withColumn("__slice", each_slice)
+        facts = facts.select(*cell, "__slice", "__fact").unionByName(others)
     whole = right.where(~F.col("__cut")).withColumn("__slice", F.lit(0))
     columns = [*cell, "__slice", "__at", "__state"]
 
@@ -177,7 +199,8 @@ def _cut(
     rows = _look_up(rows.withColumn("__spread", spread), sliced, sliced.count(), cell).withColumn(
         "__slice", F.coalesce(F.pmod(F.col("__spread"), F.col("__slices")).cast("int"), F.lit(0))
     )
-    return rows.drop("__spread", "__slices", "__hit", "__cut"), states.select(*columns).unionByName(whole.select(*columns))
+    rows = rows.drop("__spread", "__slices", "__hit", "__cut")
+    return rows, states.select(*columns).unionByName(whole.select(*columns)), facts
 
 
 def running_offset(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.scalars import is_stablecoin, month_of, shift, usd_value
 from wayline.operators.asof import asof_join
-from wayline.schema import ENRICHMENT_UPDATES, conform
+from wayline.schema import ENRICHMENT_UPDATES
 from wayline.sources.tokens import latest_metadata
 
 
@@ -83,19 +83,21 @@ def price_legs(legs: DataFrame, metadata: DataFrame, prices: DataFrame, **asof_o
 
     Stablecoins, by far the most frequent tokens, take no part in the as-of
     join, and look their metadata up among the stablecoins of the in-code list
-    alone.  Other legs meet theirs once; an unknown token has no price.
+    alone.  Other legs meet theirs in the as-of join, so they are shuffled once
+    for both; an unknown token has no price.
     """
     tokens = latest_metadata(metadata).select("chain", "token_address", "decimals")
     stable = is_stablecoin(F.col("token_address"))
     right = prices.select("chain", "token_address", F.col("timestamp").alias("price_ts"), "price_usd", "inserted_at")
     priced = asof_join(
-        legs.where(~stable).join(tokens, ["chain", "token_address"], "left"),
+        legs.where(~stable),
         right,
         ["chain", "token_address"],
         "timestamp",
         "price_ts",
         ["price_usd"],
         newest_by="inserted_at",
+        facts=tokens,
         **asof_options,
     )
     known = F.col("decimals").isNotNull()
@@ -107,15 +109,12 @@ def price_legs(legs: DataFrame, metadata: DataFrame, prices: DataFrame, **asof_o
 
 
 def enrichment_updates(events: DataFrame, metadata: DataFrame, prices: DataFrame, **asof_options) -> DataFrame:
-    """``(amount_in_usd, amount_out_usd, event_id)`` of the events with any USD value."""
+    """``(amount_in_usd, amount_out_usd, event_id)`` of the events with any USD value; ids are of the events' type."""
     legs = price_legs(token_legs(events), metadata, prices, **asof_options)
     value = {side: F.max(F.when(F.col("side") == side, F.col("amount_usd"))) for side in ("in", "out")}
-    return conform(
-        legs.where(F.col("amount_usd").isNotNull())
-        .groupBy("event_id")
-        .agg(value["in"].alias("amount_in_usd"), value["out"].alias("amount_out_usd")),
-        ENRICHMENT_UPDATES,
-    )
+    updates = legs.groupBy("event_id").agg(value["in"].alias("amount_in_usd"), value["out"].alias("amount_out_usd"))
+    # a filter of the legs would be pushed below their value and work it out twice
+    return updates.where("amount_in_usd IS NOT NULL OR amount_out_usd IS NOT NULL").select(*ENRICHMENT_UPDATES.fieldNames())
 
 
 def enrich_window(

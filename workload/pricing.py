@@ -45,6 +45,15 @@ def trades(spark, sf):
     return conform(rows, CANONICAL_EVENTS)
 
 
+def _trades(spark, sf):
+    """Trades whose ids travel as bytes, a hash in half the room of its hex digits."""
+    return trades(spark, sf).withColumn("event_id", F.unhex("event_id"))
+
+
+def _text_id():
+    return F.lower(F.hex("event_id")).alias("event_id")
+
+
 def quotes(spark, sf):
     return derived_table(spark, f"{sf}/quotes", lambda: _quotes(spark, sf))
 
@@ -113,10 +122,8 @@ def events_to_price(spark, sf):
     f"WITH {TRADES_SQL} SELECT event_id, decimals AS decimals_in, NULL::INTEGER AS decimals_out FROM tr LEFT JOIN m ON m.token = token_in",
 )
 def metadata_join(spark, sf):
-    # the hash travels as bytes, half the room of its hex digits
-    events = trades(spark, sf).withColumn("event_id", F.unhex("event_id"))
-    rows = E.with_metadata(events, part_metadata(spark, sf))
-    return rows.select(F.lower(F.hex("event_id")).alias("event_id"), "decimals_in", "decimals_out")
+    rows = E.with_metadata(_trades(spark, sf), part_metadata(spark, sf))
+    return rows.select(_text_id(), "decimals_in", "decimals_out")
 
 
 @query(
@@ -124,10 +131,10 @@ def metadata_join(spark, sf):
     f"""WITH {TRADES_SQL} SELECT event_id, price_ts, price / 100.0::DOUBLE AS price_usd FROM priced WHERE decimals IS NOT NULL""",
 )
 def price_asof(spark, sf):
-    legs = E.token_legs(E.pending_events(trades(spark, sf), START, END)).where(F.col("side") == "in")
+    legs = E.token_legs(E.pending_events(_trades(spark, sf), START, END)).where(F.col("side") == "in")
     priced = E.price_legs(legs, part_metadata(spark, sf), quotes(spark, sf), **BUCKET)
     return priced.where(F.col("decimals").isNotNull()).select(
-        "event_id", "price_ts", F.col("price_usd").cast("double").alias("price_usd")
+        _text_id(), "price_ts", F.col("price_usd").cast("double").alias("price_usd")
     )
 
 
@@ -135,11 +142,11 @@ UPDATES = f"WITH {TRADES_SQL} SELECT event_id, in_usd AS amount_in_usd, out_usd
 
 
 def _doubles(df):
-    return df.select("event_id", *[F.col(c).cast("double").alias(c) for c in ("amount_in_usd", "amount_out_usd")])
+    return df.select(_text_id(), *[F.col(c).cast("double").alias(c) for c in ("amount_in_usd", "amount_out_usd")])
 
 
 def updates(spark, sf):
-    pending = E.pending_events(trades(spark, sf), START, END)
+    pending = E.pending_events(_trades(spark, sf), START, END)
     return E.enrichment_updates(pending, part_metadata(spark, sf), quotes(spark, sf), **BUCKET)
 
 
@@ -156,7 +163,7 @@ WHERE ts BETWEEN TIMESTAMP '1996-12-01' AND TIMESTAMP '1996-12-31'""",
 def usd_trailing_window(spark, sf):
     return _doubles(
         E.enrich_window(
-            trades(spark, sf), part_metadata(spark, sf), quotes(spark, sf), end=datetime(1996, 12, 31), window=timedelta(days=30)
+            _trades(spark, sf), part_metadata(spark, sf), quotes(spark, sf), end=datetime(1996, 12, 31), window=timedelta(days=30)
         )
     )
 
@@ -168,7 +175,7 @@ APPLIED_SQL = f"""WITH {TRADES_SQL}, ap AS (
 
 @query("updates_applied", f"{APPLIED_SQL} SELECT event_id, amount_in_usd, amount_out_usd FROM ap")
 def updates_applied(spark, sf):
-    return _doubles(E.apply_updates(trades(spark, sf), updates(spark, sf)))
+    return _doubles(E.apply_updates(_trades(spark, sf), updates(spark, sf)))
 
 
 @query(
@@ -176,7 +183,7 @@ def updates_applied(spark, sf):
     f"WITH {TRADES_SQL} SELECT DISTINCT CAST(date_trunc('month', ts) AS VARCHAR)[1:10] AS event_month FROM upd",
 )
 def updated_months(spark, sf):
-    months = E.affected_months(trades(spark, sf), updates(spark, sf))
+    months = E.affected_months(_trades(spark, sf), updates(spark, sf))
     return months.select(F.col("event_month").cast("string").alias("event_month"))
 
 
@@ -186,7 +193,7 @@ def updated_months(spark, sf):
   round(count(amount_in_usd) / count(*)::DOUBLE, 4) AS rate FROM ap WHERE ts BETWEEN TIMESTAMP '1996-06-01' AND TIMESTAMP '1998-06-01'""",
 )
 def usd_coverage(spark, sf):
-    filled = E.apply_updates(trades(spark, sf), updates(spark, sf))
+    filled = E.apply_updates(_trades(spark, sf), updates(spark, sf))
     return E.coverage(filled, end=datetime(1998, 6, 1), window=datetime(1998, 6, 1) - datetime(1996, 6, 1))
 
 
